@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.llm import exact_dedup, mixing, pii, quality_rules, url_filters
+from nearvote.llm import exact_dedup, mixing, packing, pii, quality_rules, url_filters
 from nearvote.llm.common import documents
 
 
@@ -31,6 +31,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:4], F.sha2(joined(pii.BASE), 256).alias("base_sha256"), joined(pii.KINDS).alias("spans"), *counts[4:], F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0)).alias("max_score"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(documents(spark, sf_dir))
+    return placed.select("doc_id", "piece", "before", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,5 +53,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mixing, op4_quality_rules, op6_exact_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op6_exact_dedup, op10_url_filters)}
 ORACLES = {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_url_filters": url_filters.oracle()}
