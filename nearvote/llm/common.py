@@ -64,3 +64,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Ids that a join broadcasts at most (a few MB); beyond it both sides shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id (null too) is in ``ids``."""
+    gone = materialize(ids.select(F.col("doc_id").cast("long").alias("gone")).distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")

@@ -46,14 +46,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import materialize
+from nearvote.llm.common import BROADCAST_IDS, materialize
 from nearvote.llm.components import components
 from nearvote.llm.words import mix, shingles
 
 PERCENT = 80
 COUNTERS = 1 << 17
-#: Ids that are broadcast at most, 8 bytes each; beyond it tables are joined.
-BROADCAST_IDS = 500_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 

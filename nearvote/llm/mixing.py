@@ -34,14 +34,18 @@ MAX_EPOCHS = 3
 BITS, LEVELS = 12, 5
 
 
+def hash_of(name: str) -> Column:
+    """60 bits of the md5 of an id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(name).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and a hash of 60 bits of the doc_id."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("hash"),
+        hash_of("doc_id").alias("hash"),
     )
 
 
@@ -105,13 +109,25 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return edge.select(F.col("source").alias("s"), "source_size", "target", "passes", cut.alias("cut"))
 
 
+def _copies() -> Column:
+    return F.col("passes") + (F.col("hash") <= F.col("cut")).cast("long")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken per input row."""
     sizes = materialize(sized(docs))
     cuts = thresholds(sizes, source_targets(sizes))
     joined = sizes.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.col("passes") + (F.col("hash") <= F.col("cut")).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken."""
+    sizes = materialize(sized(docs))
+    cuts = materialize(thresholds(sizes, source_targets(sizes)))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), hash_of("doc_id").alias("hash"))
+    joined = row.join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    return joined.where(_copies() > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), _copies()))).select("row.*")
 
 
 ORACLE = r"""

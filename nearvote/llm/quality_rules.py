@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import WORD, materialize, text_or_empty
+from nearvote.llm.common import WORD, text_or_empty
 
 #: Bound of the labelled sample that the rules are learned from.
 MAX_LABELLED = 20_000
@@ -61,14 +61,16 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole text's statistics (all long), one row per row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    split = base.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
+    """doc_id, the whole text's statistics (all long) and ``row`` with every
+    input column, one row per row; what a plan does not use is never read."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.struct(*docs.columns).alias("row"))
+    split = base.select("doc_id", "row", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
     n = F.size("words")
     w = lambda i: F.element_at(F.col("words"), i)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2)))).otherwise(F.array().cast("array<bigint>"))
     hashed = split.select(
         "doc_id",
+        "row",
         n.alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"),
@@ -80,7 +82,14 @@ def text_stats(docs: DataFrame) -> DataFrame:
     )
     repeats = F.when(F.size(F.array_distinct("hashes")) == F.size("hashes"), F.lit(0)).otherwise(_repeat_words(F.col("words"), F.col("hashes")))
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct")
-    return hashed.select("doc_id", *(F.col(c).cast("long") for c in names), repeats.cast("long").alias("n_repeat_words"))
+    # A column of row numbers is not deterministic, so no filter on the statistics
+    # moves below this projection, where it would compute them over and over.
+    return hashed.select("doc_id", "row", *(F.col(c).cast("long") for c in names), repeats.cast("long").alias("n_repeat_words"), F.monotonically_increasing_id().alias("at"))
+
+
+def where(stats: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``text_stats`` that meet a condition on its columns."""
+    return stats.where(condition & (F.col("at") >= 0))
 
 
 def features() -> dict[str, Column]:
@@ -185,7 +194,7 @@ def learn_list(rows: list[dict], max_rules: int = 8, max_tests: int = 3, cuts: i
     return rules
 
 
-def learn_rules(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Decision list learned from at most ``max_labelled`` labelled rows."""
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -193,10 +202,10 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
         .orderBy(F.md5(F.col("doc_id").cast("string")), "bad")
         .limit(max_labelled)
     )
-    passed = stats.where(~base_failed())
-    rows = passed.join(F.broadcast(chosen), "doc_id").select("doc_id", "bad", *(v.alias(k) for k, v in features().items()))
-    examples = sorted((r.asDict() for r in rows.limit(2 * max_labelled).collect()), key=lambda r: (hash((r["doc_id"] * 2654435761) % 2**32), r["doc_id"], r["bad"]))
-    return learn_list(examples)
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").limit(2 * max_labelled)
+    stats = where(text_stats(mine), ~base_failed())
+    rows = stats.select("doc_id", F.col("row.bad").alias("bad"), *(v.alias(k) for k, v in features().items())).collect()
+    return learn_list(sorted((r.asDict() for r in rows), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["bad"], r["n_words"])))
 
 
 def decide(rules: list[Rule]) -> Column:
@@ -208,10 +217,10 @@ def decide(rules: list[Rule]) -> Column:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Statistics, ``rule`` (0: none fits), ``base_failed`` and ``kept`` per row."""
-    stats = materialize(text_stats(docs))
-    rules = learn_rules(stats, labels) if labels is not None else []
-    return stats.select("*", base_failed().alias("base_failed"), decide(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    """Statistics, ``rule`` (0: none fits), ``base_failed``, ``kept`` and the
+    input ``row``, per input row: one projection over the documents."""
+    rules = learn_rules(docs, labels) if labels is not None else []
+    return text_stats(docs).select("*", base_failed().alias("base_failed"), decide(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 #: Base columns; ``kept`` is the learned list's, so the query has no SQL twin.
