@@ -10,7 +10,19 @@ import numpy as np
 import xxhash
 
 _KEEP = 400_000
-_known: dict[bytes, int] = {}
+
+
+class _Known(dict):
+    """Hash by word; words that are new are hashed when first looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEEP:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_known = _Known()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -18,19 +30,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, dtype=np.uint64)
     words = text.encode().lower().split()
-    try:
-        found = list(map(_known.__getitem__, words))
-    except KeyError:
-        if len(_known) > _KEEP:
-            _known.clear()
-        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) - _known.keys()}
-        if len(fresh) <= _KEEP:
-            _known.update(fresh)
-            if len(_known) <= 2 * _KEEP:
-                found = list(map(_known.__getitem__, words))
-                return np.array(found, dtype=np.uint64)
-        found = [_known.get(w) or fresh.get(w) or xxhash.xxh3_64_intdigest(w) for w in words]
-    return np.array(found, dtype=np.uint64)
+    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
