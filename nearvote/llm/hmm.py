@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 
 from nearvote.llm.common import materialize
 
-TOP, TAILS, STATES, ROUNDS = 4_096, 1_024, 4, 3
+TOP, TAILS, STATES, ROUNDS = 4_096, 1_024, 6, 3
+#: Start of training: how likely a state is kept, and how far states differ.
+STAY, SPREAD = 0.98, 1.5
 #: Tokens whose counts the tasks hold; those of all others come from a join.
 HELD = 65_536
 SYMBOLS = TOP + TAILS
@@ -149,13 +151,13 @@ def _encode(batches: Iterator[pa.RecordBatch], held: dict[int, tuple[int, float]
 
 
 def start_model(counts: np.ndarray, states: int = STATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, transition and emission probabilities near the class unigram,
-    with a fixed disturbance that tells the states apart."""
-    rng = np.random.default_rng(7)
+    """Start, transition and emission probabilities: states that last, and
+    emit the class unigram with a fixed disturbance that tells them apart."""
     base = (counts + 1.0) / (counts + 1.0).sum()
-    emit = base * rng.uniform(0.2, 1.8, (states, len(counts)))
-    move = np.full((states, states), 1.0) + rng.uniform(0, 0.5, (states, states))
-    return np.full(states, 1.0 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+    emit = base * np.exp(SPREAD * np.random.default_rng(7).standard_normal((states, len(counts))))
+    move = np.full((states, states), (1 - STAY) / max(1, states - 1))
+    np.fill_diagonal(move, STAY if states > 1 else 1.0)
+    return np.full(states, 1.0 / states), move, emit / emit.sum(1, keepdims=True)
 
 
 class Batch:
