@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.llm import exact_dedup, hmm, jaccard_join, mixing, packing, pii, quality_rules, url_filters
+from nearvote.llm import exact_dedup, hmm, html_text, jaccard_join, mixing, packing, pii, quality_rules, url_filters
 from nearvote.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.hmm_scores(documents(spark, sf_dir))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
@@ -61,5 +65,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op6_exact_dedup, op7_hmm, op9_jaccard_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op6_exact_dedup, op7_hmm, op8_html_extraction, op9_jaccard_join, op10_url_filters)}
 ORACLES = {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_url_filters": url_filters.oracle()}
