@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearvote.llm import exact_dedup, hmm, html_text, jaccard_join, mixing, packing, pii, quality_rules, url_filters
+from nearvote.llm import exact_dedup, hmm, html_text, jaccard_join, mixing, packing, pii, quality_rules, substring_dedup, url_filters
 from nearvote.llm.common import documents
 
 
@@ -45,6 +45,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -65,5 +69,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op6_exact_dedup, op7_hmm, op8_html_extraction, op9_jaccard_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op5_substring_dedup, op6_exact_dedup, op7_hmm, op8_html_extraction, op9_jaccard_join, op10_url_filters)}
 ORACLES = {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_url_filters": url_filters.oracle()}
