@@ -95,10 +95,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[int, int, int, int]]:
-    """Chains (x0, x1, y0, y1) of anchors, the best first, sharing none.
+    """Chains (x0, x1, y0, y1) of anchors, sharing none.
 
     f(j) = k + max(0, f(i) - gap * (x_j - x_i + y_j - y_i)) over anchors before
-    j in both texts; f(i) + gap * (x_i + y_i) stands in the tree at y_i.
+    j in both texts; f(i) + gap * (x_i + y_i) stands in the tree at y_i. A chain
+    is cut where one step costs more than an anchor is worth: what lies between
+    is no part of the passage, however long both sides are.
     """
     n = len(x)
     steps_x, steps_y = np.diff(x), np.diff(y)
@@ -136,11 +138,14 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[t
     for j in sorted(range(n), key=lambda i: -score[i]):
         if used[j]:
             continue
-        i = j
+        i = last = first = j
         while i >= 0 and not used[i]:
+            if gap * (xs[first] - xs[i] + ys[first] - ys[i]) > k:
+                out.append((xs[first], xs[last] + k, ys[first], ys[last] + k))
+                last = i
             used[i], first = True, i
             i = back[i]
-        out.append((xs[first], xs[j] + k, ys[first], ys[j] + k))
+        out.append((xs[first], xs[last] + k, ys[first], ys[last] + k))
     return out
 
 
