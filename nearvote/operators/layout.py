@@ -52,3 +52,14 @@ def partition_offsets(vectors: DataFrame) -> DataFrame:
 def block_bounds(laid_out: DataFrame) -> DataFrame:
     """Zone map: least and greatest value per dimension of every block."""
     return laid_out.groupBy("pkey", "block").agg(*(F.min(q).alias(f"min{d}") for d, q in enumerate(Q)), *(F.max(q).alias(f"max{d}") for d, q in enumerate(Q)), F.count("*").alias("n"))
+
+
+def rows_at(laid_out: DataFrame, *positions: int) -> DataFrame:
+    """Rows by position."""
+    return laid_out.where(F.col("pos").isin(*positions))
+
+
+def rows_of_partition(laid_out: DataFrame, pkey: int, block: int | None = None) -> DataFrame:
+    """Rows of a partition, or of one of its blocks; a filter that prunes files."""
+    rows = laid_out.where(F.col("pkey") == pkey)
+    return rows if block is None else rows.where(F.col("block") == block)
