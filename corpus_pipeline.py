@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearvote.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
-from nearvote.llm.common import SPACE, materialize, text_or_empty, without
+from nearvote.llm.common import SPACE, materialize, settle, text_or_empty, whole_row, without
 from nearvote.llm.queries import labels
 
 
@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the smallest id."""
-    judged = materialize(exact_dedup.exact_dedup(docs))
+    judged = settle(exact_dedup.exact_dedup(docs))
     again = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     mixed = judged.groupBy("doc_id").agg(F.min("kept").alias("lo"), F.max("kept").alias("hi")).where("lo <> hi")
     if again.isEmpty() and mixed.isEmpty():
@@ -36,7 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Some doc_id has several rows: decide by id and text.
     sha = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
     kept = judged.where("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), sha.alias("sha"))
+    row = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), sha.alias("sha"))
     stay = row.join(kept, F.col("id").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left_semi")
     return stay.dropDuplicates(["id", "sha"]).select("row.*")
 

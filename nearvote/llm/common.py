@@ -50,6 +50,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Materialize a result, then delete the tables that it was made from
+    (those that the operator has listed as its ``_nearvote_parts``)."""
+    parts = getattr(df, "_nearvote_parts", ())
+    done = materialize(df)
+    for part in parts:
+        discard(part)
+    return done
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     path = getattr(df, "_nearvote_path", None)
@@ -62,6 +72,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that none clashes with a plan's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -72,6 +87,26 @@ BROADCAST_IDS = 500_000
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id (null too) is in ``ids``."""
-    gone = materialize(ids.select(F.col("doc_id").cast("long").alias("gone")).distinct())
+    made = ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
+    made._nearvote_parts = getattr(ids, "_nearvote_parts", ())
+    gone = settle(made)
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def most_frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``counted`` with the greatest ``n``, at most ``limit``.
+
+    The rows above a threshold of n, found from a histogram of log2(n) in steps
+    of 1/32 (some 2,000 rows at most reach the driver), so no task and not the
+    driver ever holds more than ``limit`` rows.
+    """
+    step = F.floor(F.log2("n") * 32).cast("int")
+    histogram = sorted(((r["step"], r["c"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least = 0, None
+    for at, c in histogram:
+        total += c
+        if total > limit:
+            break
+        least = at
+    return counted.where(step >= least) if least is not None else counted.where(F.lit(False))

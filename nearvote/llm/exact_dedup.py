@@ -181,13 +181,15 @@ def exact_dedup(docs: DataFrame, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     texts = local.where(F.col("bytes").isNotNull()).select("uid", "len", "h", "bytes", "low", "n")
     owners = texts.repartition("len", "h").sortWithinPartitions("len", "h").mapInArrow(_owners, "uid long, keep_id long, group_size long")
     members = local.select("doc_id", "uid", "text_sha256")
-    return members.join(owners, "uid").select(
+    result = members.join(owners, "uid").select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+    result._nearvote_parts = [local]
+    return result
 
 
 ORACLE = r"""

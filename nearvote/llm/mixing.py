@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import WORD, materialize, text_or_empty
+from nearvote.llm.common import WORD, materialize, text_or_empty, whole_row
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -125,7 +125,7 @@ def take(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
     sizes = materialize(sized(docs))
     cuts = materialize(thresholds(sizes, source_targets(sizes)))
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), hash_of("doc_id").alias("hash"))
+    row = docs.select(whole_row(docs), F.col("source").cast("string").alias("source"), hash_of("doc_id").alias("hash"))
     joined = row.join(cuts, F.col("source").eqNullSafe(F.col("s")))
     return joined.where(_copies() > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), _copies()))).select("row.*")
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import WORD, text_or_empty
+from nearvote.llm.common import WORD, text_or_empty, whole_row
 
 #: Bound of the labelled sample that the rules are learned from.
 MAX_LABELLED = 20_000
@@ -63,7 +63,7 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 def text_stats(docs: DataFrame) -> DataFrame:
     """doc_id, the whole text's statistics (all long) and ``row`` with every
     input column, one row per row; what a plan does not use is never read."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.struct(*docs.columns).alias("row"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), whole_row(docs))
     split = base.select("doc_id", "row", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
     n = F.size("words")
     w = lambda i: F.element_at(F.col("words"), i)
@@ -202,9 +202,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
         .orderBy(F.md5(F.col("doc_id").cast("string")), "bad")
         .limit(max_labelled)
     )
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").limit(2 * max_labelled)
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     stats = where(text_stats(mine), ~base_failed())
-    rows = stats.select("doc_id", F.col("row.bad").alias("bad"), *(v.alias(k) for k, v in features().items())).collect()
+    one = F.min(F.struct(F.col("row.bad").alias("bad"), *(v.alias(k) for k, v in features().items()))).alias("one")
+    rows = stats.groupBy("doc_id").agg(one).select("doc_id", "one.*").collect()  # a doc_id may have several rows
     return learn_list(sorted((r.asDict() for r in rows), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["bad"], r["n_words"])))
 
 

@@ -355,3 +355,28 @@ def test_pipeline_on_awkward_rows(spark, awkward):
     assert max(kept.values()) == 1 and {d for d, _ in kept} == {1, 3, 5, 6, 7, 8, 9, 10}
     near = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, data, SF).collect()}
     assert near == {1, 3, 4, 5, 6, 8, 9, 10}
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_both_ways(spark, monkeypatch, small):
+    import random
+
+    from nearvote.llm import components as cc
+
+    monkeypatch.setattr(cc, "SMALL", small)
+    rng = random.Random(2)
+    edges = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(55)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(510, 540)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.id: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
+    assert got == {x: root(x) for x in parent if x not in alone}
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -168,12 +168,6 @@ def test_linked_sets_share_a_key(light):
             assert a & b
 
 
-def test_frequent_items_survive_compression():
-    tokens, counts = np.arange(10, dtype=np.uint64), np.array([1, 1, 1, 1, 1, 1, 1, 1, 50, 60])
-    kept, left = jj._compress(tokens, counts, 3)
-    assert {8, 9} <= set(kept.tolist()) and left.min() > 0
-
-
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_common_words_is_the_longest_common_subsequence(a, b):
