@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import materialize
+from nearvote.llm.common import materialize, most_frequent
 
 TOP, TAILS, STATES, ROUNDS = 4_096, 1_024, 6, 3
 #: Start of training: how likely a state is kept, and how far states differ.
@@ -106,42 +106,40 @@ def vocabulary(train: DataFrame) -> DataFrame:
 NUMBERED_DDL = "doc_id long, held_out boolean, row long, symbols binary, rare array<long>, held_sum double, held_known long"
 
 
-class _Symbols(dict):
-    """Symbol and log10(c + 0.1) by word, bounded; the latter 1 where not held."""
+class _Places(dict):
+    """Number of a word, bounded: its place among the held tokens, or ``HELD``
+    and the number of its tail."""
 
-    def __init__(self, held: dict[int, tuple[int, float]]) -> None:
+    def __init__(self, held: dict[int, int]) -> None:
         super().__init__()
         self.held = held
 
-    def __missing__(self, word: bytes) -> tuple[int, float]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
-        symbol, value = self.held.get(token_key(word), (-1, np.nan))
-        found = self[word] = (symbol if symbol >= 0 else tail(word), value)
+        place = self.held.get(token_key(word), -1)
+        found = self[word] = place if place >= 0 else HELD + tail(word) - TOP
         return found
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: dict[int, tuple[int, float]]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held: dict[int, int], symbol: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    symbol, row = _Symbols(held), TaskContext.get().partitionId() << 33
-    end, end_value = held.get(END_KEY, (-1, np.nan))
-    end = end if end >= 0 else TOP
+    places, row = _Places(held), TaskContext.get().partitionId() << 33
+    end = held.get(END_KEY, HELD)
     for batch in batches:
         for lo in range(0, batch.num_rows, 1_000):
             part = batch.slice(lo, 1_000)
             sequences, rare, sums, known = [], [], [], []
             for text in part.column(2):
                 w = words(text.as_py())
-                found = list(map(symbol.__getitem__, w))
-                found.append((end, end_value))
-                s = np.array(found)
-                out = np.isnan(s[:, 1])
-                at = np.nonzero(out)[0].tolist()
-                rare.append([token_key(w[i]) if i < len(w) else END_KEY for i in at])
-                sequences.append(s[:, 0].astype(np.uint16).tobytes())
-                sums.append(float(s[~out, 1].sum()))
-                known.append(len(s) - len(at))
+                at = np.fromiter(map(places.__getitem__, w), dtype=np.int64, count=len(w))
+                at = np.append(at, end)
+                out = np.flatnonzero(at >= HELD).tolist()
+                rare.append([token_key(w[i]) if i < len(w) else END_KEY for i in out])
+                sequences.append(symbol[at].tobytes())
+                sums.append(float(value[at].sum()))
+                known.append(len(at) - len(out))
             n = len(sequences)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(np.arange(row, row + n)), pa.array(sequences, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(sums, pa.float64()), pa.array(known, pa.int64())],
@@ -287,8 +285,13 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> D
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_column().alias("held_out"), F.col("text").cast("string").alias("text"))
     vocab = materialize(vocabulary(base.where(~F.col("held_out"))))
     total, distinct = (x or 0 for x in vocab.agg(F.sum("n"), F.count("*")).first())
-    first = vocab.orderBy(F.desc("n"), "token").limit(HELD).collect()
-    held = {r["token"]: (k if k < TOP else -1, float(np.log10(r["n"] + ALPHA))) for k, r in enumerate(first)}
+    first = sorted(most_frequent(vocab, HELD).collect(), key=lambda r: (-r["n"], r["token"]))
+    held = {r["token"]: k for k, r in enumerate(first)}
+    # By place: symbol, and log10(c + 0.1) for held tokens.
+    symbol, value = np.zeros(HELD + TAILS, dtype=np.uint16), np.zeros(HELD + TAILS)
+    symbol[HELD:] = np.arange(TOP, SYMBOLS)
+    symbol[: len(first)] = [k if k < TOP else r["tail"] for k, r in enumerate(first)]
+    value[: len(first)] = [np.log10(r["n"] + ALPHA) for r in first]
     # By symbol: the count of its tokens, and how many distinct ones it has.
     n_symbol, v_symbol = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
     for k, r in enumerate(first[:TOP]):
@@ -296,7 +299,7 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> D
     for r in beyond(vocab, first[:TOP]).groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         n_symbol[r["tail"]], v_symbol[r["tail"]] = r["n"], r["v"]
 
-    numbered = materialize(base.mapInArrow(lambda it: _encode(it, held), NUMBERED_DDL))
+    numbered = materialize(base.mapInArrow(lambda it: _encode(it, held, symbol, value), NUMBERED_DDL))
     model, _ = train(numbered.where(~F.col("held_out")), n_symbol, rounds, states)
 
     # A symbol of one token emits it surely: its own count cancels out.
