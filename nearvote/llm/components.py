@@ -3,8 +3,9 @@
 Each round lets every node point at the smallest id it knows: the large star
 moves a node's larger neighbours to its smallest one, the small star moves its
 smaller ones. All steps are joins and aggregates over edges, so neither links
-nor components ever meet in one place, and edges first shrink to a spanning
-forest within each task.
+nor components of a large table ever meet in one place, and edges first shrink
+to a spanning forest within each task. A forest of at most ``SMALL`` edges
+(counted; some tens of MB) is finished by union-find in a single task instead.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from nearvote.llm.common import discard, materialize
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-CHUNK = 500_000
+CHUNK = SMALL = 250_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Per task: edges to the smallest id of their component, by union-find."""
     parent: dict[int, int] = {}
 
@@ -42,7 +43,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > CHUNK:
+        if len(parent) > chunk:
             yield from flush()
             parent.clear()
     yield from flush()
@@ -64,9 +65,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): each id in an edge, and the smallest id it is linked to."""
+    """(id, comp): each id in an edge, and the smallest id it is linked to; a
+    written table (see :func:`~nearvote.llm.common.materialize`)."""
     now = materialize(edges.select("a", "b").mapInArrow(_forest, "a long, b long").distinct())
     state = _state(now)
+    if 0 < state[0] <= SMALL:
+        single = materialize(now.coalesce(1).mapInArrow(lambda it: _forest(it, 2 * SMALL), "a long, b long"))
+        discard(now)
+        now, state = single, (0,)
     while state[0]:
         step = materialize(_star(_star(now, True), False))
         discard(now)
@@ -76,4 +82,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
     # Every edge points at the smallest id of its component.
     roots = now.select(F.col("b").alias("id")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
+    found = materialize(now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots.select("id", F.col("id").alias("comp"))))
+    discard(now)
+    return found
