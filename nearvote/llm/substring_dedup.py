@@ -13,10 +13,12 @@
     the best predecessor in log time.
  4. Alignment: the words around each chain are fetched (in blocks of ``BLOCK``
     words, each block once), the chain's ends are extended, and the greedy
-    O(ND) algorithm finds the longest common subsequence. Chains below
-    ``IDENTITY`` go.
+    O(ND) algorithm finds the longest common subsequence. A chain below
+    ``IDENTITY`` is split between the anchors with the most edits until each
+    part reaches it, so an exact run is kept whatever stands around it.
  5. A document's aligned chains that touch or overlap (to whichever owner) form
-    one passage, so a passage known from several places is not lost. Passages
+    one passage, so a passage known from several places is not lost (parts of
+    one split chain join only where they touch or overlap). Passages
     of ``MIN_WORDS`` words or more are reported; the first document that has
     one is its owner and keeps it.
 
@@ -95,7 +97,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[int, int, int, int]]:
-    """Chains (x0, x1, y0, y1) of anchors, sharing none.
+    """Chains (x0, x1, y0, y1) of anchors, sharing none."""
+    return [(xs[0], xs[-1] + k, ys[0], ys[-1] + k) for xs, ys in linked(x, y, k, gap)]
+
+
+def linked(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[list[int], list[int]]]:
+    """The anchors of each chain, sharing none.
 
     f(j) = k + max(0, f(i) - gap * (x_j - x_i + y_j - y_i)) over anchors before
     j in both texts; f(i) + gap * (x_i + y_i) stands in the tree at y_i. A chain
@@ -105,7 +112,7 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[t
     n = len(x)
     steps_x, steps_y = np.diff(x), np.diff(y)
     if n == 1 or (steps_x == steps_y).all() and (2 * gap * steps_x).max() < k:
-        return [(int(x[0]), int(x[-1]) + k, int(y[0]), int(y[-1]) + k)]
+        return [(x.tolist(), y.tolist())]
     order = np.lexsort((-y, x))
     xs, ys = x[order].tolist(), y[order].tolist()
     rank = {v: i + 1 for i, v in enumerate(sorted(set(ys)))}
@@ -138,15 +145,21 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[t
     for j in sorted(range(n), key=lambda i: -score[i]):
         if used[j]:
             continue
-        i = last = first = j
+        i, chain = j, []
         while i >= 0 and not used[i]:
-            if gap * (xs[first] - xs[i] + ys[first] - ys[i]) > k:
-                out.append((xs[first], xs[last] + k, ys[first], ys[last] + k))
-                last = i
-            used[i], first = True, i
+            if chain and gap * (xs[chain[-1]] - xs[i] + ys[chain[-1]] - ys[i]) > k:
+                out.append(chain)
+                chain = []
+            used[i] = True
+            chain.append(i)
             i = back[i]
-        out.append((xs[first], xs[last] + k, ys[first], ys[last] + k))
-    return out
+        out.append(chain)
+    return [([xs[i] for i in reversed(c)], [ys[i] for i in reversed(c)]) for c in out]
+
+
+def steps(xs: list[int], ys: list[int]) -> bytes:
+    """A chain's steps in both texts, two bytes each (no step is over 60 words)."""
+    return np.diff(np.array([xs, ys]), axis=1).astype(np.uint8).T.tobytes()
 
 
 def _merged(spans: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
@@ -159,7 +172,8 @@ def _merged(spans: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
     return out
 
 
-CHAIN_DDL = "chain long, doc long, x0 long, x1 long, owner long, y0 long, y1 long"
+CHAIN_DDL = "chain long, doc long, x0 long, x1 long, owner long, y0 long, y1 long, steps binary"
+CHAINS = pa.schema([(c, pa.int64()) for c in ("chain", "doc", "x0", "x1", "owner", "y0", "y1")] + [("steps", pa.binary())])
 
 
 def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -174,17 +188,17 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         table = np.concatenate(held)
         held.clear()
         doc = int(table[0, 0])
-        found: list[tuple[int, int, int, int, int]] = []
+        found: list[tuple[int, int, int, int, int, bytes]] = []
         cuts = np.nonzero(np.diff(table[:, 2]))[0] + 1
         for part in np.split(table, cuts):
             part = part[np.argsort(part[:, 1], kind="stable")]
-            found += [(int(part[0, 2]), *c) for c in chains(part[:, 1], part[:, 3])]
-        wide = [p for p in _merged([(x0 - REACH, x1 + REACH) for _, x0, x1, _, _ in found], JOIN_GAP) if p[1] - p[0] >= min_words]
+            found += [(int(part[0, 2]), xs[0], xs[-1] + K, ys[0], ys[-1] + K, steps(xs, ys)) for xs, ys in linked(part[:, 1], part[:, 3])]
+        wide = [p for p in _merged([(x0 - REACH, x1 + REACH) for _, x0, x1, *_ in found], JOIN_GAP) if p[1] - p[0] >= min_words]
         starts = np.array([p[0] for p in wide])
-        for owner, x0, x1, y0, y1 in found:
+        for owner, x0, x1, y0, y1, between in found:
             i = int(np.searchsorted(starts, x0 - REACH, side="right")) - 1 if wide else -1
             if i >= 0 and x1 <= wide[i][1]:
-                rows.append((number, doc, x0, x1, owner, y0, y1))
+                rows.append((number, doc, x0, x1, owner, y0, y1, between))
                 number += 1
 
     for batch in batches:
@@ -196,12 +210,12 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
                 finish()
             held.append(part)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["chain", "doc", "x0", "x1", "owner", "y0", "y1"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHAINS, strict=True)], schema=CHAINS)
             rows = []
     if held:
         finish()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["chain", "doc", "x0", "x1", "owner", "y0", "y1"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHAINS, strict=True)], schema=CHAINS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +277,33 @@ def align(x: list[int], x0: int, x1: int, y: list[int], y0: int, y1: int, identi
     return None if same is None or 2 * same < identity * size else (x0, x1, y0, y1, same)
 
 
-ALIGNED_DDL = "doc long, x0 long, x1 long, owner long, y0 long, y1 long, same long"
+def parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """The chain of anchors aligned as in :func:`align`, whole or, where it is
+    too different, split between the anchors with the most edits."""
+    whole = align(x, xs[0], xs[-1] + k, y, ys[0], ys[-1] + k, identity)
+    if whole or len(xs) == 1:
+        return [whole] if whole else []
+    size = np.array([b - a + d - c for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False)])
+    same = np.array([common_words(x[a:b], y[c:d], b - a + d - c) for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False)])
+    edits = size - 2 * same
+    out, todo = [], [(0, len(xs) - 1)]
+    while todo:
+        i, j = todo.pop()
+        words = int(same[i:j].sum()) + k
+        if 2 * words < identity * (int(size[i:j].sum()) + 2 * k):
+            at = i + int(edits[i:j].argmax())
+            todo += [(i, at), (at + 1, j)]
+            continue
+        x0, x1, y0, y1 = xs[i], xs[j] + k, ys[i], ys[j] + k
+        while x0 > 0 and y0 > 0 and x[x0 - 1] == y[y0 - 1]:
+            x0, y0, words = x0 - 1, y0 - 1, words + 1
+        while x1 < len(x) and y1 < len(y) and x[x1] == y[y1]:
+            x1, y1, words = x1 + 1, y1 + 1, words + 1
+        out.append((x0, x1, y0, y1, words))
+    return out
+
+
+ALIGNED_DDL = "doc long, x0 long, x1 long, owner long, y0 long, y1 long, same long, chain long"
 
 
 def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
@@ -273,7 +313,7 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
     rows: list[tuple] = []
 
     def finish() -> None:
-        _, doc, x0, x1, owner, y0, y1 = now
+        chain, doc, x0, _, owner, y0, _, between = now
         if not sides[0] or not sides[1]:
             return
         text, base = [], []
@@ -281,13 +321,13 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
             first = min(side)
             base.append(first * BLOCK)
             text.append(np.frombuffer(b"".join(side[b] for b in sorted(side)), dtype=np.uint32).tolist())
-        found = align(text[0], x0 - base[0], x1 - base[0], text[1], y0 - base[1], y1 - base[1], identity)
-        if found:
-            a0, a1, b0, b1, same = found
-            rows.append((doc, a0 + base[0], a1 + base[0], owner, b0 + base[1], b1 + base[1], same))
+        dx, dy = np.frombuffer(between, dtype=np.uint8).reshape(-1, 2).T.astype(np.int64)
+        xs, ys = ([at, *(at + np.cumsum(d)).tolist()] for at, d in ((x0 - base[0], dx), (y0 - base[1], dy)))
+        for a0, a1, b0, b1, same in parts(text[0], xs, text[1], ys, identity):
+            rows.append((doc, a0 + base[0], a1 + base[0], owner, b0 + base[1], b1 + base[1], same, chain))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("chain", "doc", "x0", "x1", "owner", "y0", "y1", "side", "block", "words")]
+        columns = [batch.column(c).to_pylist() for c in ("chain", "doc", "x0", "x1", "owner", "y0", "y1", "steps", "side", "block", "words")]
         for *head, side, block, words in zip(*columns, strict=True):
             head = tuple(head)
             if now is None or head[0] != now[0]:
@@ -296,12 +336,12 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
                 now, sides = head, ({}, {})
             sides[side].setdefault(block, words)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
             rows = []
     if now is not None:
         finish()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
 
 
 PASSAGES = pa.schema(
@@ -310,18 +350,34 @@ PASSAGES = pa.schema(
 PASSAGES_DDL = "doc_id long, start_word long, end_word long, n_words long, owner_id long, owner_start long, owner_end long, matched_words long, identity double, owner_ids array<long>"
 
 
-def passages(doc: int, aligned: list[tuple[int, int, int, int, int, int]], min_words: int) -> list[tuple]:
-    """Passages of one document from (x0, x1, owner, y0, y1, same) rows."""
+def _joined(aligned: list[tuple]) -> list[tuple[int, int]]:
+    """Spans of aligned parts that touch, overlap or stand ``JOIN_GAP`` apart;
+    parts of one chain were split for what lies between, so never over a gap."""
+    out: list[tuple[int, int]] = []
+    ending: set[int] = set()  # chains of the parts that end where the last span ends
+    for s, e, *_, chain in sorted(aligned, key=lambda a: a[:2]):
+        if out and s <= out[-1][1] + (JOIN_GAP if ending - {chain} else 0):
+            if e >= out[-1][1]:
+                ending = {chain} | (ending if e == out[-1][1] else set())
+                out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+            ending = {chain}
+    return out
+
+
+def passages(doc: int, aligned: list[tuple[int, int, int, int, int, int, int]], min_words: int) -> list[tuple]:
+    """Passages of one document from (x0, x1, owner, y0, y1, same, chain) rows."""
     plain = lambda v: None if v == NO_ID else v
     out = []
-    merged = _merged([(a[0], a[1]) for a in aligned], JOIN_GAP)
+    merged = _joined(aligned)
     starts = [s for s, _ in merged]
     inside: list[list[tuple]] = [[] for _ in merged]
     for a in aligned:
         inside[int(np.searchsorted(starts, a[0], side="right")) - 1].append(a)
     for (s, e), members in zip(merged, inside, strict=True):
         if e - s >= min_words:
-            x0, x1, owner, y0, y1, same = max(members, key=lambda a: (a[5], -a[2]))
+            x0, x1, owner, y0, y1, same, _ = max(members, key=lambda a: (a[5], -a[2]))
             out.append((plain(doc), s, e, e - s, plain(owner), y0, y1, same, round(2 * same / (x1 - x0 + y1 - y0), 4), sorted({m[2] for m in members} - {NO_ID})))
     return out
 
@@ -330,7 +386,7 @@ def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
     doc, held = None, []
     rows: list[tuple] = []
     for batch in batches:
-        for d, *rest in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+        for d, *rest in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
             if d != doc and held:
                 rows += passages(doc, held, min_words)
                 held = []
@@ -362,6 +418,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     few = lists.count() <= BROADCAST_IDS
     found = base.join(F.broadcast(lists) if few else lists, "doc").select("doc", "blocks", "text")
     blocks = found.mapInArrow(_blocks, "doc long, block long, words binary").withColumnRenamed("doc", "from")
-    together = wanted.join(blocks, ["from", "block"]).select("chain", "doc", "x0", "x1", "owner", "y0", "y1", "side", "block", "words")
+    together = wanted.join(blocks, ["from", "block"]).select("chain", "doc", "x0", "x1", "owner", "y0", "y1", "steps", "side", "block", "words")
     aligned = together.repartition("chain").sortWithinPartitions("chain", "side", "block").mapInArrow(lambda it: _align(it, identity), ALIGNED_DDL)
     return aligned.repartition("doc").sortWithinPartitions("doc").mapInArrow(lambda it: _passages(it, min_words), PASSAGES_DDL)

@@ -309,3 +309,28 @@ def test_anchors_pass_between_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], names=["h", "doc", "at"]) for part in (rows[:cut], rows[cut:])]
         got = [tuple(b.column(i)[j].as_py() for i in range(4)) for b in substring_dedup._anchors(iter(batches)) for j in range(b.num_rows)]
         assert got == want
+
+
+@pytest.mark.parametrize("gap, line", [(16, 12), (20, 8), (20, 16), (16, 16)])
+def test_exact_runs_survive_short_shared_lines(gap, line):
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+        run, before, after = new(51), new(line), new(line)
+        a, b = (np.concatenate([new(30), before, new(gap), run, new(gap), after, new(30)]) for _ in range(2))
+        (ha, pa_), (hb, pb) = substring_dedup.minimizers(a), substring_dedup.minimizers(b)
+        owned = dict(zip(hb.tolist(), pb.tolist(), strict=True))
+        pairs = [(int(x), owned[h]) for h, x in zip(ha.tolist(), pa_.tolist(), strict=True) if h in owned]
+        start = 30 + line + gap
+        rows = []
+        for n, (xs, ys) in enumerate(substring_dedup.linked(*np.array(pairs).T)):
+            rows += [(x0, x1, 1, y0, y1, same, n) for x0, x1, y0, y1, same in substring_dedup.parts(a.tolist(), xs, b.tolist(), ys, 0.8)]
+        found = substring_dedup.passages(2, rows, 50)
+        assert any(f[1] <= start and f[2] >= start + 51 for f in found)
+
+
+def test_parts_of_one_chain_join_only_where_they_touch():
+    row = lambda s, e, chain: (s, e, 1, s, e, e - s, chain)
+    assert substring_dedup.passages(2, [row(0, 30, 1), row(33, 60, 1)], 50) == []
+    assert [f[1:3] for f in substring_dedup.passages(2, [row(0, 30, 1), row(33, 60, 2)], 50)] == [(0, 60)]
+    assert [f[1:3] for f in substring_dedup.passages(2, [row(0, 30, 1), row(25, 45, 2), row(44, 70, 1)], 50)] == [(0, 70)]
