@@ -26,8 +26,9 @@ Words are lower-cased runs of non-space; places count words from 0, end
 exclusive. Words are compared by hash (64 bits in seeds, 32 in alignment).
 
 Defined cases: a null or empty text has no passage; rows with the same doc_id
-are one document (repeats among them are not reported); rows with a null
-doc_id are one document that sorts before all others; an empty table gives an
+are one document (repeats among them are not reported, and each text is
+searched for itself); rows with a null doc_id are one document that sorts
+before all others; an empty table gives an
 empty result; columns other than doc_id and text are ignored.
 """
 
@@ -69,20 +70,22 @@ def minimizers(words: np.ndarray, k: int = K, w: int = WINDOW) -> tuple[np.ndarr
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        texts = batch.column(1)
+        ids, texts_of = (batch.column(c).to_numpy() for c in (0, 1))
+        texts = batch.column(2)
         for lo in range(0, len(ids), 500):
             found = [minimizers(word_hashes(t.as_py())) for t in texts[lo : lo + 500]]
             h, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            doc = np.repeat(ids[lo : lo + 500], [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(at)], names=["h", "doc", "at"])
+            doc, text = (np.repeat(v[lo : lo + 500], [len(f[0]) for f in found]) for v in (ids, texts_of))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), doc, at, text)], names=["h", "doc", "at", "part"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences against the first of their seed; input sorted by (h, doc, at)."""
-    seed = owner = place = None
+    """Occurrences against the first of their seed; input sorted by (h, doc,
+    part, at), where a part tells the texts under one doc_id apart."""
+    seed = owner = place = owner_part = None
     for batch in batches:
         h, doc, at = (batch.column(c).to_numpy() for c in range(3))
+        part = batch.column(3).to_numpy() if batch.num_columns > 3 else np.zeros(len(h), dtype=np.int64)
         if not len(h):
             continue
         new = np.concatenate([[seed is None or h[0] != seed], h[1:] != h[:-1]])
@@ -90,10 +93,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = first < 0  # the seed began in a batch before
         o = np.where(carried, owner if owner is not None else 0, doc[first])
         p = np.where(carried, place if place is not None else 0, at[first])
+        q = np.where(carried, owner_part if owner_part is not None else 0, part[first])
         keep = doc != o
-        seed, owner, place = h[-1], o[-1], p[-1]
+        seed, owner, place, owner_part = h[-1], o[-1], p[-1], q[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, at, o, p)], names=["doc", "at", "owner", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, at, o, p, part, q)], names=["doc", "at", "owner", "place", "part", "owner_part"])
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[int, int, int, int]]:
@@ -172,12 +176,12 @@ def _merged(spans: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
     return out
 
 
-CHAIN_DDL = "chain long, doc long, x0 long, x1 long, owner long, y0 long, y1 long, steps binary"
-CHAINS = pa.schema([(c, pa.int64()) for c in ("chain", "doc", "x0", "x1", "owner", "y0", "y1")] + [("steps", pa.binary())])
+CHAIN_DDL = "chain long, doc long, part long, x0 long, x1 long, owner long, owner_part long, y0 long, y1 long, steps binary"
+CHAINS = pa.schema([(c, pa.int64()) for c in ("chain", "doc", "part", "x0", "x1", "owner", "owner_part", "y0", "y1")] + [("steps", pa.binary())])
 
 
 def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Chains of each document; input sorted by (doc, owner). A chain stays if
+    """Chains of each text; input sorted by (doc, part, owner, owner_part). A chain stays if
     with its neighbours it can still be part of a passage that is long enough."""
     number = TaskContext.get().partitionId() << 33
     held: list[np.ndarray] = []
@@ -187,26 +191,26 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         nonlocal number
         table = np.concatenate(held)
         held.clear()
-        doc = int(table[0, 0])
-        found: list[tuple[int, int, int, int, int, bytes]] = []
-        cuts = np.nonzero(np.diff(table[:, 2]))[0] + 1
+        doc, text = int(table[0, 0]), int(table[0, 4])
+        found: list[tuple[int, int, int, int, int, int, bytes]] = []
+        cuts = np.nonzero((table[1:, [2, 5]] != table[:-1, [2, 5]]).any(axis=1))[0] + 1
         for part in np.split(table, cuts):
             part = part[np.argsort(part[:, 1], kind="stable")]
-            found += [(int(part[0, 2]), xs[0], xs[-1] + K, ys[0], ys[-1] + K, steps(xs, ys)) for xs, ys in linked(part[:, 1], part[:, 3])]
-        wide = [p for p in _merged([(x0 - REACH, x1 + REACH) for _, x0, x1, *_ in found], JOIN_GAP) if p[1] - p[0] >= min_words]
+            found += [(int(part[0, 2]), int(part[0, 5]), xs[0], xs[-1] + K, ys[0], ys[-1] + K, steps(xs, ys)) for xs, ys in linked(part[:, 1], part[:, 3])]
+        wide = [p for p in _merged([(x0 - REACH, x1 + REACH) for _, _, x0, x1, *_ in found], JOIN_GAP) if p[1] - p[0] >= min_words]
         starts = np.array([p[0] for p in wide])
-        for owner, x0, x1, y0, y1, between in found:
+        for owner, owner_text, x0, x1, y0, y1, between in found:
             i = int(np.searchsorted(starts, x0 - REACH, side="right")) - 1 if wide else -1
             if i >= 0 and x1 <= wide[i][1]:
-                rows.append((number, doc, x0, x1, owner, y0, y1, between))
+                rows.append((number, doc, text, x0, x1, owner, owner_text, y0, y1, between))
                 number += 1
 
     for batch in batches:
-        table = np.stack([batch.column(c).to_numpy() for c in ("doc", "at", "owner", "place")], axis=1)
+        table = np.stack([batch.column(c).to_numpy() for c in ("doc", "at", "owner", "place", "part", "owner_part")], axis=1)
         if not len(table):
             continue
-        for part in np.split(table, np.nonzero(np.diff(table[:, 0]))[0] + 1):
-            if held and held[0][0, 0] != part[0, 0]:
+        for part in np.split(table, np.nonzero((table[1:, [0, 4]] != table[:-1, [0, 4]]).any(axis=1))[0] + 1):
+            if held and (held[0][0, [0, 4]] != part[0, [0, 4]]).any():
                 finish()
             held.append(part)
         if rows:
@@ -220,19 +224,20 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, block, words = [], [], []
-        for d, want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        doc, part, block, words = [], [], [], []
+        for d, q, want, text in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
             h = word_hashes(text.as_py()).astype(np.uint32)
             for b in want:
                 if b * BLOCK < len(h):
                     doc.append(d)
+                    part.append(q)
                     block.append(b)
                     words.append(h[b * BLOCK : (b + 1) * BLOCK].tobytes())
             if len(doc) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(block, pa.int64()), pa.array(words, pa.binary())], names=["doc", "block", "words"])
-                doc, block, words = [], [], []
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, part, block)), pa.array(words, pa.binary())], names=["doc", "part", "block", "words"])
+                doc, part, block, words = [], [], [], []
         if doc:
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(block, pa.int64()), pa.array(words, pa.binary())], names=["doc", "block", "words"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, part, block)), pa.array(words, pa.binary())], names=["doc", "part", "block", "words"])
 
 
 def common_words(a: list[int], b: list[int], most: int) -> int | None:
@@ -303,7 +308,7 @@ def parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: fl
     return out
 
 
-ALIGNED_DDL = "doc long, x0 long, x1 long, owner long, y0 long, y1 long, same long, chain long"
+ALIGNED_DDL = "doc long, part long, x0 long, x1 long, owner long, y0 long, y1 long, same long, chain long"
 
 
 def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
@@ -313,7 +318,7 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
     rows: list[tuple] = []
 
     def finish() -> None:
-        chain, doc, x0, _, owner, y0, _, between = now
+        chain, doc, part, x0, owner, y0, between = now
         if not sides[0] or not sides[1]:
             return
         text, base = [], []
@@ -324,10 +329,10 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
         dx, dy = np.frombuffer(between, dtype=np.uint8).reshape(-1, 2).T.astype(np.int64)
         xs, ys = ([at, *(at + np.cumsum(d)).tolist()] for at, d in ((x0 - base[0], dx), (y0 - base[1], dy)))
         for a0, a1, b0, b1, same in parts(text[0], xs, text[1], ys, identity):
-            rows.append((doc, a0 + base[0], a1 + base[0], owner, b0 + base[1], b1 + base[1], same, chain))
+            rows.append((doc, part, a0 + base[0], a1 + base[0], owner, b0 + base[1], b1 + base[1], same, chain))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("chain", "doc", "x0", "x1", "owner", "y0", "y1", "steps", "side", "block", "words")]
+        columns = [batch.column(c).to_pylist() for c in ("chain", "doc", "part", "x0", "owner", "y0", "steps", "side", "block", "words")]
         for *head, side, block, words in zip(*columns, strict=True):
             head = tuple(head)
             if now is None or head[0] != now[0]:
@@ -336,12 +341,12 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
                 now, sides = head, ({}, {})
             sides[side].setdefault(block, words)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "part", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
             rows = []
     if now is not None:
         finish()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc", "part", "x0", "x1", "owner", "y0", "y1", "same", "chain"])
 
 
 PASSAGES = pa.schema(
@@ -386,38 +391,49 @@ def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
     doc, held = None, []
     rows: list[tuple] = []
     for batch in batches:
-        for d, *rest in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-            if d != doc and held:
-                rows += passages(doc, held, min_words)
+        for d, q, *rest in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+            if (d, q) != doc and held:
+                rows += passages(doc[0], held, min_words)
                 held = []
-            doc = d
+            doc = (d, q)
             held.append(tuple(rest))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PASSAGES, strict=True)], schema=PASSAGES)
             rows = []
     if held:
-        rows += passages(doc, held, min_words)
+        rows += passages(doc[0], held, min_words)
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PASSAGES, strict=True)], schema=PASSAGES)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """One row per passage of a document that an earlier document has."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    seeds = base.mapInArrow(_seeds, "h long, doc long, at long")
-    anchors = seeds.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_anchors, "doc long, at long, owner long, place long")
-    chained = materialize(anchors.repartition("doc").sortWithinPartitions("doc", "owner").mapInArrow(lambda it: _chain(it, min_words), CHAIN_DDL))
+    base = _parts(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")))
+    seeds = base.mapInArrow(_seeds, "h long, doc long, at long, part long")
+    anchors = seeds.repartition("h").sortWithinPartitions("h", "doc", "part", "at").mapInArrow(_anchors, "doc long, at long, owner long, place long, part long, owner_part long")
+    chained = materialize(anchors.repartition("doc", "part").sortWithinPartitions("doc", "part", "owner", "owner_part").mapInArrow(lambda it: _chain(it, min_words), CHAIN_DDL))
 
-    def asked(side: int, doc: str, start: str, end: str) -> DataFrame:
+    def asked(side: int, doc: str, part: str, start: str, end: str) -> DataFrame:
         from_, to = F.greatest(F.col(start) - REACH, F.lit(0)), F.col(end) + REACH - 1
         blocks = F.sequence((from_ / BLOCK).cast("long"), (to / BLOCK).cast("long"))
-        return chained.select("*", F.lit(side).alias("side"), F.col(doc).alias("from"), F.explode(blocks).alias("block"))
+        return chained.select("*", F.lit(side).alias("side"), F.col(doc).alias("from"), F.col(part).alias("from_part"), F.explode(blocks).alias("block"))
 
-    wanted = asked(0, "doc", "x0", "x1").union(asked(1, "owner", "y0", "y1"))
-    lists = materialize(wanted.select(F.col("from").alias("doc"), "block").distinct().groupBy("doc").agg(F.collect_list("block").alias("blocks")))
+    wanted = asked(0, "doc", "part", "x0", "x1").union(asked(1, "owner", "owner_part", "y0", "y1"))
+    lists = materialize(wanted.select(F.col("from").alias("doc"), F.col("from_part").alias("part"), "block").distinct().groupBy("doc", "part").agg(F.collect_list("block").alias("blocks")))
     few = lists.count() <= BROADCAST_IDS
-    found = base.join(F.broadcast(lists) if few else lists, "doc").select("doc", "blocks", "text")
-    blocks = found.mapInArrow(_blocks, "doc long, block long, words binary").withColumnRenamed("doc", "from")
-    together = wanted.join(blocks, ["from", "block"]).select("chain", "doc", "x0", "x1", "owner", "y0", "y1", "steps", "side", "block", "words")
+    found = base.join(F.broadcast(lists) if few else lists, ["doc", "part"]).select("doc", "part", "blocks", "text")
+    blocks = found.mapInArrow(_blocks, "doc long, part long, block long, words binary").withColumnsRenamed({"doc": "from", "part": "from_part"})
+    together = wanted.join(blocks, ["from", "from_part", "block"]).select("chain", "doc", "part", "x0", "owner", "y0", "steps", "side", "block", "words")
     aligned = together.repartition("chain").sortWithinPartitions("chain", "side", "block").mapInArrow(lambda it: _align(it, identity), ALIGNED_DDL)
-    return aligned.repartition("doc").sortWithinPartitions("doc").mapInArrow(lambda it: _passages(it, min_words), PASSAGES_DDL)
+    return aligned.repartition("doc", "part").sortWithinPartitions("doc", "part").mapInArrow(lambda it: _passages(it, min_words), PASSAGES_DDL)
+
+
+def _parts(base: DataFrame) -> DataFrame:
+    """``base`` with ``part``: which text it is, where rows share a doc_id (0 where none does)."""
+    shared = materialize(base.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("shared")))
+    n = shared.count()
+    if not n:
+        return base.select("doc", F.lit(0).cast("long").alias("part"), "text")
+    if n > BROADCAST_IDS:
+        return base.select("doc", F.xxhash64("text").alias("part"), "text")
+    return base.join(F.broadcast(shared), "doc", "left").select("doc", F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("part"), "text")

@@ -251,6 +251,17 @@ def test_substring_dedup_of_fuzzy_passages(spark, awkward):
     assert substring_dedup.repeated_passages(awkward.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    fill = lambda k, n: [f"f{k}x{i}" for i in range(n)]
+    passage = [f"p{i}" for i in range(80)]
+    for shared in (None, 1):
+        rows = [(shared, fill(k, 150)) for k in range(12)] + [(shared, fill(20, 30) + passage), (shared, fill(21, 150))]
+        rows += [(5, fill(30, 20) + passage + fill(31, 9)), (9, fill(32, 70) + passage), (9, fill(33, 400))]
+        docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id, r.start_word, r.end_word, r.owner_id) for r in substring_dedup.repeated_passages(docs).collect())
+        assert got == [(5, 20, 100, shared), (9, 70, 150, shared)]
+
+
 def test_hmm_scores(spark, texts):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
     words = {d: [*(t or "").encode().lower().split(), None] for d, t in texts.items()}
