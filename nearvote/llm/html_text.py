@@ -4,8 +4,8 @@ A tokenizer reads tags, comments and raw-text elements in one pass. The tree
 builder turns them into properly nested events: it implies end tags (a block
 closes an open paragraph, an item the item before, a cell the cell before) and
 start tags (rows of cells), keeps end tags from reaching out of a table cell,
-and drops subtrees that are not visible. Elements that affect neither layout
-nor visibility are not kept open, so deep nesting of them costs nothing.
+and drops subtrees that are not visible. Elements that are not visible are
+open elements like others: implied end tags and those of parents close them.
 
 The renderer lays the events out: inline white space collapses, blocks begin
 and end lines, paragraphs and the like are set off by a blank line, items get
@@ -53,7 +53,14 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 CELLS, TABLE_PARTS = frozenset({"td", "th"}), frozenset("caption tbody td tfoot th thead tr".split())
-FENCE = frozenset("caption table td th".split())
+SCOPE = frozenset({"object", "template"})
+FENCE = frozenset("caption table td th".split()) | SCOPE
+#: Elements that stand in the head, and inline ones that outlive the block they were opened in.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Elements of HTML that end an svg they are found in, unless within one of the second set.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+FOREIGN = frozenset("svg foreignobject desc title".split())
 
 _START = re.compile(r"""<([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -126,16 +133,29 @@ def _unseen(name: str, raw: str) -> bool:
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """Nested events of the visible tree: start, end, text, and br."""
-    open_: list[str] = []
+    open_: list[tuple[str, bool, bool]] = []  # name, whether its start was told, whether it is unseen
     count: dict[str, int] = {}
-    hidden = 0  # elements open inside an unseen one, itself counted
-    hidden_name = ""
+    hidden = 0  # unseen elements that are open
+
+    def drop(i: int) -> tuple[str, bool, bool]:
+        nonlocal hidden
+        name, shown, unseen = open_.pop(i)
+        count[name] -= 1
+        hidden -= unseen
+        return name, shown, unseen
 
     def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
+        again: list[str] = []
         while len(open_) > depth:
-            name = open_.pop()
-            count[name] -= 1
-            yield "end", name, ""
+            name, shown, unseen = drop(-1)
+            if shown:
+                yield "end", name, ""
+            if unseen and name in FORMATTING:
+                again.append(name)
+            elif name in FENCE:
+                again.clear()
+        for name in reversed(again):
+            push(name, True)
 
     def find(names: set[str] | frozenset[str], fence: set[str] | frozenset[str]) -> int:
         """Depth of the outermost of the innermost run of ``names`` before a fence, or -1."""
@@ -143,58 +163,78 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             return -1
         found = -1
         for i in range(len(open_) - 1, -1, -1):
-            if open_[i] in fence:
+            name = open_[i][0]
+            if name in fence or name in SCOPE:
                 break
-            if open_[i] in names:
+            if name in names:
                 found = i
         return found
 
-    def push(name: str, raw: str) -> tuple[str, str, str]:
-        open_.append(name)
+    def push(name: str, unseen: bool = False) -> bool:
+        """Open an element; whether to tell its start."""
+        nonlocal hidden
+        shown = name in BLOCK and not unseen and not hidden
+        open_.append((name, shown, unseen))
         count[name] = count.get(name, 0) + 1
-        return "start", name, raw
+        hidden += unseen
+        return shown
 
     for kind, name, raw in tokens(page):
-        if hidden:
-            if name == hidden_name:
-                hidden += kind == "start"
-                hidden -= kind == "end"
-            continue
+        if open_ and open_[-1][0] == "head" and (raw.strip("\t\n\f\r ") if kind == "text" else name not in IN_HEAD if kind == "start" else name in ("body", "html", "br")):
+            yield from close_to(len(open_) - 1)
         if kind == "text":
-            yield kind, "", raw
+            if not hidden:
+                yield kind, "", raw
         elif kind == "start":
+            foreign = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in FOREIGN), -1) if count.get("svg") else -1
+            if foreign >= 0 and open_[foreign][0] == "svg":
+                if name in BREAKOUT:
+                    yield from close_to(foreign)
+                elif raw.rstrip().endswith("/"):
+                    continue
             if name in CLOSES_P and (at := find({"p"}, FENCE)) >= 0:
                 yield from close_to(at)
             if name in IMPLIED and (at := find(*IMPLIED[name])) >= 0:
                 yield from close_to(at)
+            if name in ("a", "nobr") and (at := find({name}, FENCE)) >= 0:
+                drop(at)
             if name in ("br", "hr"):
-                yield "br" if name == "br" else "rule", name, ""
+                if not hidden:
+                    yield "br" if name == "br" else "rule", name, ""
                 continue
-            if name in VOID:
+            if name in VOID or name == "head" and any(x != "html" for x, _, _ in open_):
                 continue
-            if _unseen(name, raw):
-                if not raw.rstrip().endswith("/") or name in HIDDEN:
-                    hidden, hidden_name = 1, name
+            unseen = _unseen(name, raw)
+            if unseen and raw.rstrip().endswith("/") and (name == "svg" or name not in HIDDEN):
                 continue
             if name in TABLE_PARTS:
                 if not count.get("table"):
                     continue
-                if name in CELLS and find({"tr"}, {"table"}) < 0:
-                    yield push("tr", "")
-            if name in BLOCK:
-                yield push(name, raw)
+                if name in CELLS and find({"tr"}, {"table"}) < 0 and push("tr"):
+                    yield "start", "tr", ""
+            if push(name, unseen):
+                yield "start", name, raw
         elif name == "br":
-            yield "br", name, ""
-        elif count.get(name):
-            at = -1
-            fence = {"table"} - {name} if name in TABLE_PARTS or name == "table" else FENCE
+            if not hidden:
+                yield "br", name, ""
+        elif count.get(name) and not (hidden and name in ("body", "html")):
+            at, crossed = -1, False  # whether a block is open within
+            fence = {"table"} | SCOPE if name in TABLE_PARTS else SCOPE if name == "table" else FENCE if name != "template" else frozenset()
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i] == name:
+                inner = open_[i][0]
+                if inner == name:
                     at = i
                     break
-                if open_[i] in fence:
+                if inner in fence:
                     break
-            if at >= 0:
+                crossed = crossed or inner in BLOCK
+            if at < 0:
+                continue
+            if name in FORMATTING:
+                drop(at)
+                if not crossed:
+                    yield from close_to(at)
+            elif name in BLOCK or not crossed or open_[at][2]:
                 yield from close_to(at)
     yield from close_to(0)
 

@@ -334,3 +334,28 @@ def test_parts_of_one_chain_join_only_where_they_touch():
     assert substring_dedup.passages(2, [row(0, 30, 1), row(33, 60, 1)], 50) == []
     assert [f[1:3] for f in substring_dedup.passages(2, [row(0, 30, 1), row(33, 60, 2)], 50)] == [(0, 60)]
     assert [f[1:3] for f in substring_dedup.passages(2, [row(0, 30, 1), row(25, 45, 2), row(44, 70, 1)], 50)] == [(0, 70)]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<head><title>t</title> text", "text"),
+        ("<head><meta charset=x><style>s</style><div>a</div>b", "a\nb"),
+        ("<ul><li hidden>a<li>b</ul>more", "- b\n\nmore"),
+        ("<div><p hidden>a</div><p>b</p>more", "b\n\nmore"),
+        ("<dl><dt hidden>a<dd>b</dl>c", "b\n\nc"),
+        ("<table><tr hidden><td>a<tr><td>b</table>c", "b\n\nc"),
+        ("<table><tr><td hidden>a<td>b<tr><td>c</table>", "b\nc"),
+        ("<p><span hidden>a</p>b", "b"),
+        ("<a href=x>a<span hidden>b</a>c", "ac"),
+        ("<span hidden><span>a</span>b</span>c", "c"),
+        ("<div hidden><p>a<br><ul><li>b</div>c", "c"),
+        ("<p>a<b hidden>b<p>c</b>d", "a\n\nd"),
+        ("<div>x<template></div>a</template>b</div>c", "xb\nc"),
+        ("<svg/>a<svg><path d=1 /><g></svg>b<svg><g><p>c", "ab\n\nc"),
+        ("<div hidden>a</body>b", ""),
+    ],
+)
+def test_unseen_elements_end_where_the_tree_ends_them(page, text):
+    assert html_text.render(page) == text
