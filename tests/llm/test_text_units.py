@@ -359,3 +359,13 @@ def test_parts_of_one_chain_join_only_where_they_touch():
 )
 def test_unseen_elements_end_where_the_tree_ends_them(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n" + " " * 12_000, "<|endoftext |>"])
+def test_added_tokens_are_the_tokenizers(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    ids = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert packing.token_bytes(path, public_tokenizers.path(packing.RANKS))(text) == ids == packing.token_bytes(path)(text)
