@@ -2,7 +2,7 @@
 
  1. Seeds: of every window of ``WINDOW`` k-mers of ``K`` words, the one with
     the least hash. Two texts that share a run of ``K + WINDOW - 1`` words
-    share a seed, at a sixth of the positions.
+    share a seed, at two fifths of the positions.
  2. Seeds meet by hash, sorted by document. The first occurrence (smallest
     doc_id) owns the seed, and every occurrence in another document is one
     anchor (place, owner's place): a seed in n documents gives n - 1 anchors,
@@ -12,10 +12,13 @@
     word passed in either text; a Fenwick tree over the owner's places gives
     the best predecessor in log time.
  4. Alignment: the words around each chain are fetched (in blocks of ``BLOCK``
-    words, each block once), the chain's ends are extended, and the greedy
+    words, each block once), and the greedy
     O(ND) algorithm finds the longest common subsequence. A chain below
     ``IDENTITY`` is split between the anchors with the most edits until each
-    part reaches it, so an exact run is kept whatever stands around it.
+    part reaches it, so an exact run is kept whatever stands around it. Ends
+    are extended over edits while that does not lower the identity below
+    ``IDENTITY``, until the score falls ``DROP`` under its best or the words
+    fetched (``REACH`` beyond the chain) end.
  5. A document's aligned chains that touch or overlap (to whichever owner) form
     one passage, so a passage known from several places is not lost (parts of
     one split chain join only where they touch or overlap). Passages
@@ -45,10 +48,11 @@ from pyspark.sql import functions as F
 from nearvote.llm.common import BROADCAST_IDS, materialize
 from nearvote.llm.words import windows, word_hashes
 
-K, WINDOW = 6, 11
+K, WINDOW = 6, 4
 GAP = 0.1
 BLOCK = 64
-REACH = K + WINDOW
+REACH = 32
+DROP = 4.0
 MIN_WORDS = 50
 IDENTITY = 0.8
 JOIN_GAP = 4
@@ -282,7 +286,53 @@ def align(x: list[int], x0: int, x1: int, y: list[int], y0: int, y1: int, identi
     return None if same is None or 2 * same < identity * size else (x0, x1, y0, y1, same)
 
 
+def extension(a: list[int], b: list[int], identity: float, drop: float = DROP) -> tuple[int, int, int]:
+    """How many words of both sides to add, and how many of them align.
+
+    Greedy O(ND) from the start of both. With d words left out of n, the score
+    ``(1 - identity) * n - d`` is not negative where the identity is reached;
+    the end with the best score is taken, and paths ``drop`` under it are left.
+    """
+    n, m = len(a), len(b)
+    x = 0
+    while x < n and x < m and a[x] == b[x]:
+        x += 1
+    gain = 1 - identity
+    best, end = 2 * gain * x, (x, x, x)
+    reach = {0: x}
+    d = 0
+    while reach:
+        d += 1
+        found: dict[int, int] = {}
+        for k0, x0 in reach.items():
+            for k, x in ((k0 + 1, x0 + 1), (k0 - 1, x0)):
+                if x <= n and x - k <= m and x > found.get(k, -1):
+                    found[k] = x
+        reach = {}
+        for k, x in found.items():
+            y = x - k
+            while x < n and y < m and a[x] == b[y]:
+                x += 1
+                y += 1
+            score = gain * (x + y) - d
+            if score > best - drop:
+                reach[k] = x
+                if score > best or score == best and x + y > end[0] + end[1]:
+                    best, end = score, (x, y, (x + y - d) // 2)
+    return end
+
+
 def parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """The parts of :func:`whole_parts` with their ends extended over edits."""
+    out = []
+    for x0, x1, y0, y1, same in whole_parts(x, xs, y, ys, identity, k):
+        before = extension(x[:x0][::-1], y[:y0][::-1], identity)
+        after = extension(x[x1:], y[y1:], identity)
+        out.append((x0 - before[0], x1 + after[0], y0 - before[1], y1 + after[1], same + before[2] + after[2]))
+    return out
+
+
+def whole_parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
     """The chain of anchors aligned as in :func:`align`, whole or, where it is
     too different, split between the anchors with the most edits."""
     whole = align(x, xs[0], xs[-1] + k, y, ys[0], ys[-1] + k, identity)

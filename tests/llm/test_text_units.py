@@ -369,3 +369,29 @@ def test_added_tokens_are_the_tokenizers(text):
     path = public_tokenizers.path(packing.TOKENIZER)
     ids = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     assert packing.token_bytes(path, public_tokenizers.path(packing.RANKS))(text) == ids == packing.token_bytes(path)(text)
+
+
+@pytest.mark.parametrize("step, size", [(10, 60), (12, 60), (8, 100), (10, 200)])
+def test_passages_with_edits_at_a_fixed_step_are_found(step, size):
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+        run = new(size)
+        other = run.copy()
+        other[step - 1 :: step] = new(len(other[step - 1 :: step]))
+        a, b = np.concatenate([new(70), other, new(70)]), np.concatenate([new(90), run, new(70)])
+        (ha, xa), (hb, xb) = substring_dedup.minimizers(a), substring_dedup.minimizers(b)
+        owned = dict(zip(hb.tolist(), xb.tolist(), strict=True))
+        pairs = [(int(x), owned[h]) for h, x in zip(ha.tolist(), xa.tolist(), strict=True) if h in owned]
+        rows = [(x0, x1, 1, y0, y1, same, n) for n, (xs, ys) in enumerate(substring_dedup.linked(*np.array(pairs).T)) for x0, x1, y0, y1, same in substring_dedup.parts(a.tolist(), xs, b.tolist(), ys, 0.8)]
+        found = substring_dedup.passages(2, rows, 50)
+        assert any(f[2] - f[1] >= 0.9 * size and f[8] >= 0.8 for f in found)
+
+
+@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_extensions_keep_the_identity(a, b):
+    x, y, same = substring_dedup.extension(a, b, 0.8)
+    exact = next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+    assert x + y >= 2 * exact and 2 * same >= 0.8 * (x + y) - 1e-9
+    assert same <= substring_dedup.common_words(a[:x], b[:y], 99)
