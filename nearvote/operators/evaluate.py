@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.config import EVALUATION_FIRST, EVALUATION_QUERIES, READY_ROWS
+from nearvote.config import DENY_VOTES, EVALUATION_FIRST, EVALUATION_QUERIES, READY_ROWS
 from nearvote.functions.features import Q
 
 
@@ -17,12 +17,13 @@ def systematic_sample(laid_out: DataFrame, n: int, queries: int = EVALUATION_QUE
 
 
 def accuracy(exact: DataFrame, approximate: DataFrame) -> DataFrame:
-    """One row: a query with equal votes counts 1, any other one half."""
+    """One row: a query with equal votes counts 1, any other one half; a mismatch
+    is a query that one side denies (``DENY_VOTES`` or more) and the other not."""
     both = exact.select("qid", F.col("votes").alias("e")).join(approximate.select("qid", F.col("votes").alias("a")), "qid")
-    missed = (F.col("e") != F.col("a")).cast("int")
+    missed = ((F.col("e") >= DENY_VOTES) != (F.col("a") >= DENY_VOTES)).cast("int")
     return both.agg(
         F.count("*").alias("queries"),
-        F.round(100 * F.avg(1 - missed / 2), 4).alias("vote_match_pct"),
+        F.round(100 * F.avg(F.when(F.col("e") == F.col("a"), 1.0).otherwise(0.5)), 4).alias("vote_match_pct"),
         F.sum(missed).alias("mismatches"),
         F.round(100 * F.avg(missed), 4).alias("mismatch_pct"),
         F.round(F.avg("e"), 4).alias("avg_exact"),

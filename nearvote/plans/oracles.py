@@ -162,6 +162,6 @@ p AS (SELECT q.vec_id AS qid, r.vec_id AS pos, list_sum(list_transform(list_zip(
 ), e AS ({voted(top(f"SELECT qid, r.pos, label, {dist('a', 'q')} AS d FROM es, rs r", 'd, pos', keep='qid, label'), 'es')}),
 a AS ({voted(ivf_hits('es'), 'es')})
 SELECT count(*) AS queries, round(100 * avg(CASE WHEN e.votes = a.votes THEN 1.0 ELSE 0.5 END), 4) AS vote_match_pct,
-       sum((e.votes <> a.votes)::INT)::BIGINT AS mismatches, round(100 * avg((e.votes <> a.votes)::INT), 4) AS mismatch_pct,
+       sum(((e.votes >= 3) <> (a.votes >= 3))::INT)::BIGINT AS mismatches, round(100 * avg(((e.votes >= 3) <> (a.votes >= 3))::INT), 4) AS mismatch_pct,
        round(avg(e.votes), 4) AS avg_exact, round(avg(a.votes), 4) AS avg_ivf FROM e JOIN a USING (qid)""",
 }
