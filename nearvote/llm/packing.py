@@ -81,8 +81,8 @@ def token_bytes(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     return lambda text: slow(text) if _BLANK.search(text) or any(t in text for t in added) else array("I", fast(text)).tobytes()
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("before", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PIECES_DDL = "doc_id long, piece int, before long, length long, ids_crc32 long"
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def _place(batches: Iterator[pa.RecordBatch], runs: dict[str, np.ndarray]) -> It
 
 
 def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """doc_id, piece, before, length, ids_crc32, sequence_id, offset per piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
     if path is None:
         import public_tokenizers
 

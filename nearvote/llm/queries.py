@@ -33,7 +33,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(documents(spark, sf_dir))
-    return placed.select("doc_id", "piece", "before", "length", "ids_crc32", "sequence_id", "offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

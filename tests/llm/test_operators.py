@@ -70,7 +70,7 @@ def packed_whole(rows, wanted, capacity=packing.CAPACITY):
     """wanted: list of (doc_id, ids); every piece once, gapless, in few sequences."""
     pieces, sequences = collections.Counter(), collections.defaultdict(list)
     for r in rows:
-        pieces[r.doc_id, r.piece, r.before, r.length, r.ids_crc32] += 1
+        pieces[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
         sequences[r.sequence_id].append((r.offset, r.length))
     expected = collections.Counter()
     for doc_id, ids in wanted:
