@@ -26,7 +26,8 @@ Without expanding groups into pairs:
     another. These pairs are verified and give components.
  3. Pairs that share a list and whose components differ are then all verified,
     whatever their number, so no link between components is missed; pairs
-    within a component cannot change it.
+    within a component cannot change it. Lists are split by size band, and a
+    pair is made at the first key that it shares, not at every one.
 
 Before whole sets are compared, sizes, positions and a parity sketch of each set
 (a bit or two per shingle) bound what a pair can share; they drop only pairs that cannot link.
@@ -250,7 +251,18 @@ def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT, sc
     return best
 
 
+def band(n: Column, percent: int, most: int = 1 << 40) -> Column:
+    """Number of a size band; sizes that can link are at most one band apart."""
+    steps, at = [], 1
+    while at < most:
+        steps.append(at)
+        at = at * 100 // percent + 1
+    return F.size(F.filter(F.array(*(F.lit(t).cast("long") for t in steps)), lambda t: t <= n))
+
+
 GROUP = 2_000
+#: Keys before a shared one that tell whether a pair has met already.
+PRIOR = 8
 #: Before all pairs are tried: rounds that try to join components by a few pairs
 #: of each list, how many, and of how long lists.
 BRIDGES, PICKS, LONG = 2, 8, 16
@@ -433,18 +445,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, light: int | Non
         if links is None or links.isEmpty():
             break
 
-    # All pairs that share a list and are still apart.
+    # All pairs that share a list and are still apart, once each: a pair is left
+    # out where one of the ``PRIOR`` keys before this one is shared as well. At
+    # the first key that the pair shares there is none, so no pair is lost.
     discard(longer)
     open_ = apart_still(shared)
-    names = ("cls", "n", "at", "comp", "coarse")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}{i}") for c in names)) for i in (1, 2))
+    before = F.collect_list("key").over(W.partitionBy("cls").orderBy("at", "key").rowsBetween(-PRIOR, -1))
+    members = materialize(open_.select("*", before.alias("prior"), band(F.col("n"), percent).alias("band")))
+    names = ("cls", "n", "at", "comp", "coarse", "prior")
+    x, y = (members.select("key", *(F.col(c).alias(f"{c}{i}") for c in names), own.alias("band")) for i, own in ((1, F.explode(F.array(F.col("band"), F.col("band") + 1))), (2, F.col("band"))))
     # What sets can share at most from the shared position on, and must share.
     most = F.when((F.col("at1") < 0) | (F.col("at2") < 0), F.least("n1", "n2")).otherwise(F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")))
     enough = most * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
-    rest = x.join(y, "key").where((F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & enough & _room(percent, "n1", "n2", "coarse1", "coarse2"))
+    ordered_ = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2"))
+    rest = x.join(y, ["key", "band"]).where(ordered_ & (F.col("comp1") != F.col("comp2")) & enough & _room(percent, "n1", "n2", "coarse1", "coarse2") & ~F.arrays_overlap("prior1", "prior2"))
     merge(_links(likely(rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()), base, local, percent))
 
-    for done in (open_, shared, cards):
+    for done in (open_, members, shared, cards):
         discard(done)
     named = placed(local.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "cls", "comp")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
