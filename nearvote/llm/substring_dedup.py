@@ -2,28 +2,36 @@
 
  1. Seeds: of every window of ``WINDOW`` k-mers of ``K`` words, the one with
     the least hash. Two texts that share a run of ``K + WINDOW - 1`` words
-    share a seed, at two fifths of the positions.
+    share a seed, at a third of the positions.
  2. Seeds meet by hash, sorted by document. The first occurrence (smallest
     doc_id) owns the seed, and every occurrence in another document is one
     anchor (place, owner's place): a seed in n documents gives n - 1 anchors,
-    never pairs of all with all.
+    never pairs of all with all. Seeds are first resolved within each task, in
+    chunks of ``CHUNK``: occurrences become anchors of the chunk's first document
+    that has the seed, and only that document's occurrences travel on. So the
+    task that a hot seed is dealt to gets a few rows a chunk, not all of them.
  3. Chaining: anchors of a document and one owner are chained in order in both
     texts. A chain's score is the words its anchors cover less ``GAP`` for each
     word passed in either text; a Fenwick tree over the owner's places gives
-    the best predecessor in log time.
- 4. Alignment: the words around each chain are fetched (in blocks of ``BLOCK``
-    words, each block once), and the greedy
-    O(ND) algorithm finds the longest common subsequence. A chain below
-    ``IDENTITY`` is split between the anchors with the most edits until each
-    part reaches it, so an exact run is kept whatever stands around it. Ends
-    are extended over edits while that does not lower the identity below
-    ``IDENTITY``, until the score falls ``DROP`` under its best or the words
-    fetched (``REACH`` beyond the chain) end.
+    the best predecessor in log time. A chain goes on if
+    ``MARGIN`` words more on either side make it long enough, or if it lies in
+    a run of anchors, to whichever owners, that leaves no words out and is (and
+    not within a chain that is long enough alone).
+ 4. Alignment: where anchors follow one another by the same step of at most
+    ``K`` words, the words are known to be equal. Only the words in the gaps of
+    a chain and ``REACH`` beyond its ends are fetched (in blocks of ``BLOCK``
+    words, each block once), and the greedy O(ND) algorithm aligns each gap. A
+    chain below ``IDENTITY`` is split between the anchors with the most edits
+    until each part reaches it, so an exact run is kept whatever stands around
+    it. Ends are extended over edits while that does not lower the identity
+    below ``IDENTITY``, until the score falls ``DROP`` under its best or
+    ``REACH`` words are passed.
  5. A document's aligned chains that touch or overlap (to whichever owner) form
     one passage, so a passage known from several places is not lost (parts of
     one split chain join only where they touch or overlap). Passages
     of ``MIN_WORDS`` words or more are reported; the first document that has
-    one is its owner and keeps it.
+    one is its owner and keeps it. ``owner_id`` is the earlier document with
+    the most words of the passage among those that its seeds were resolved with.
 
 Words are lower-cased runs of non-space; places count words from 0, end
 exclusive. Words are compared by hash (64 bits in seeds, 32 in alignment).
@@ -41,53 +49,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearvote.llm.common import BROADCAST_IDS, materialize
-from nearvote.llm.words import windows, word_hashes
+from nearvote.llm.words import mix, windows, word_hashes
 
-K, WINDOW = 6, 4
+K, WINDOW = 5, 5
 GAP = 0.1
-BLOCK = 64
-REACH = 32
-DROP = 4.0
+BLOCK = 32
+REACH = 48
+#: Words on either side of a chain, less than ``REACH``, that may still make it a passage.
+MARGIN = 16
+DROP = 5.0
 MIN_WORDS = 50
 IDENTITY = 0.8
 JOIN_GAP = 4
 NO_ID = -(1 << 63)
+CHUNK = 500_000
+#: Bytes of block lists that a join broadcasts at most.
+BROADCAST_BYTES = 64 << 20
 
 
 def minimizers(words: np.ndarray, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds of a text."""
+    """Hashes and places of the seeds of a text; of equal hashes in a window the
+    last, so a word that goes on and on gives one seed a window."""
     h = windows(words, k)
     if not len(h):
         return h, np.empty(0, dtype=np.int64)
     if len(h) <= w:
-        at = np.array([int(h.argmin())])
+        at = np.array([len(h) - 1 - int(h[::-1].argmin())])
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, w)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        at = np.unique(w - 1 - view[:, ::-1].argmin(axis=1) + np.arange(len(view)))
     return h[at], at.astype(np.int64)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SEEDS_DDL = "h long, doc long, at long, part long, owner long, place long, owner_part long"
+SEEDS = pa.schema([(c, pa.int64()) for c in ("h", "doc", "at", "part", "owner", "place", "owner_part")])
+
+
+def _resolved(h: np.ndarray, doc: np.ndarray, at: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Occurrences of a chunk: those in the first document of their seed go on
+    as seeds, the others are anchors (dealt by document, not by seed)."""
+    order = np.lexsort((at, part, doc, h))
+    h, doc, at, part = (v[order] for v in (h, doc, at, part))
+    first = np.searchsorted(h, h, side="left") if len(h) else order
+    anchor = doc != doc[first]
+    place = lambda v: pa.array(v[first], mask=~anchor)
+    key = np.where(anchor, mix((doc ^ part).view(np.uint64)).view(np.int64), h)
+    return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (key, doc, at, part)), place(doc), place(at), place(part)], schema=SEEDS)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for batch in batches:
         ids, texts_of = (batch.column(c).to_numpy() for c in (0, 1))
         texts = batch.column(2)
-        for lo in range(0, len(ids), 500):
-            found = [minimizers(word_hashes(t.as_py())) for t in texts[lo : lo + 500]]
-            h, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            doc, text = (np.repeat(v[lo : lo + 500], [len(f[0]) for f in found]) for v in (ids, texts_of))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), doc, at, text)], names=["h", "doc", "at", "part"])
+        for i, text in enumerate(texts):
+            h, at = minimizers(word_hashes(text.as_py()))
+            held.append((h.view(np.int64), np.full(len(h), ids[i]), at, np.full(len(h), texts_of[i])))
+            size += len(h)
+            if size >= chunk:
+                yield _resolved(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield _resolved(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences against the first of their seed; input sorted by (h, doc,
-    part, at), where a part tells the texts under one doc_id apart."""
+    part, at), where a part tells the texts under one doc_id apart. Rows that
+    have an owner already are anchors and pass through."""
     seed = owner = place = owner_part = None
     for batch in batches:
+        if batch.num_columns > 4:
+            ready = batch.column("owner").is_valid()
+            done = batch.filter(ready)
+            if done.num_rows:
+                yield done.select(["doc", "at", "owner", "place", "part", "owner_part"])
+                batch = batch.filter(pc.invert(ready))
         h, doc, at = (batch.column(c).to_numpy() for c in range(3))
         part = batch.column(3).to_numpy() if batch.num_columns > 3 else np.zeros(len(h), dtype=np.int64)
         if not len(h):
@@ -170,23 +214,63 @@ def steps(xs: list[int], ys: list[int]) -> bytes:
     return np.diff(np.array([xs, ys]), axis=1).astype(np.uint8).T.tobytes()
 
 
-def _merged(spans: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1] + slack:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
+CHAIN_DDL = "chain long, doc long, part long, x0 long, owner long, owner_part long, y0 long, steps binary, x_blocks array<long>, y_blocks array<long>"
+CHAINS = pa.schema([(c, pa.int64()) for c in ("chain", "doc", "part", "x0", "owner", "owner_part", "y0")] + [("steps", pa.binary()), ("x_blocks", pa.list_(pa.int64())), ("y_blocks", pa.list_(pa.int64()))])
+
+
+def wanted_blocks(at: list[int], gaps: np.ndarray) -> list[int]:
+    """Blocks with the first and the last word of a side of a chain, the words
+    beyond its ends, and those from anchor to anchor over each gap."""
+    spans = [(max(0, at[0] - REACH), at[0]), (at[-1] + K - 1, at[-1] + K + REACH - 1), *((at[i], at[i + 1] + K - 1) for i in gaps)]
+    return sorted({b for lo, hi in spans for b in range(lo // BLOCK, hi // BLOCK + 1)})
+
+
+def gaps_of(xs: list[int], ys: list[int]) -> np.ndarray:
+    """Steps of a chain over words that are not known to be equal."""
+    dx, dy = np.diff(xs), np.diff(ys)
+    return np.flatnonzero((dx != dy) | (dx > K))
+
+
+def dense_spans(at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of anchors, to whichever owner, that leave no
+    more than ``JOIN_GAP`` words out and may be a passage. An exact passage is
+    one, since its seeds leave out no word but up to ``WINDOW - 1`` at its ends."""
+    at = np.sort(at)
+    cuts = np.flatnonzero(np.diff(at) > K + JOIN_GAP)
+    starts, ends = at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])] + K
+    dense = ends - starts + 2 * (WINDOW - 1) >= min_words
+    return starts[dense], ends[dense]
+
+
+def long_alone(low: np.ndarray | int, high: np.ndarray | int, min_words: int) -> np.ndarray | bool:
+    """Whether a chain is long enough with ``MARGIN`` words more on either side."""
+    return high - low + 2 * MARGIN >= min_words
+
+
+def spans(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of spans."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(pairs):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            out.append((s, e))
-    return out
+            out.append([lo, hi])
+    starts, ends = np.array(out, dtype=np.int64).reshape(-1, 2).T
+    return starts, ends
 
 
-CHAIN_DDL = "chain long, doc long, part long, x0 long, x1 long, owner long, owner_part long, y0 long, y1 long, steps binary"
-CHAINS = pa.schema([(c, pa.int64()) for c in ("chain", "doc", "part", "x0", "x1", "owner", "owner_part", "y0", "y1")] + [("steps", pa.binary())])
+def covers(spans: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray, whole: bool = True) -> np.ndarray:
+    """Whether a span holds all from low to high, or else a word of it."""
+    if not len(spans[0]):
+        return np.zeros(len(low), dtype=bool)
+    i = np.searchsorted(spans[0], low, side="right") - 1 if whole else np.searchsorted(spans[0], high, side="left") - 1
+    return (i >= 0) & (spans[1][i] >= high if whole else spans[1][i] > low)
 
 
 def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Chains of each text; input sorted by (doc, part, owner, owner_part). A chain stays if
-    with its neighbours it can still be part of a passage that is long enough."""
+    """Chains of each text; input sorted by (doc, part, owner, owner_part).
+    A chain stays if it is long enough alone, or if it is in a run of
+    :func:`dense_spans` and not within a chain that is."""
     number = TaskContext.get().partitionId() << 33
     held: list[np.ndarray] = []
     rows: list[tuple] = []
@@ -196,18 +280,44 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         table = np.concatenate(held)
         held.clear()
         doc, text = int(table[0, 0]), int(table[0, 4])
-        found: list[tuple[int, int, int, int, int, int, bytes]] = []
-        cuts = np.nonzero((table[1:, [2, 5]] != table[:-1, [2, 5]]).any(axis=1))[0] + 1
-        for part in np.split(table, cuts):
+        dense = dense_spans(table[:, 1], min_words)
+        # A place of the owner that repeats here: once in ``MARGIN`` words.
+        order = np.lexsort((table[:, 1], table[:, 3], table[:, 5], table[:, 2]))
+        table = table[order]
+        group = np.column_stack([table[:, [2, 5, 3]], table[:, 1] // MARGIN])
+        table = table[np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)])]
+        cuts = np.concatenate([[0], np.flatnonzero((table[1:, [2, 5]] != table[:-1, [2, 5]]).any(axis=1)) + 1])
+        low, high = (f.reduceat(table[:, 1], cuts) for f in (np.minimum, np.maximum))
+        ends = [*cuts[1:], len(table)]
+        # Chains that are long enough alone, then short ones where none of these is.
+        short: list[tuple] = []
+        alone: list[tuple[int, int]] = []
+
+        def keep(owner: int, owner_text: int, xs: list[int], ys: list[int]) -> None:
+            nonlocal number
+            gaps = gaps_of(xs, ys)
+            rows.append((number, doc, text, xs[0], owner, owner_text, ys[0], steps(xs, ys), wanted_blocks(xs, gaps), wanted_blocks(ys, gaps)))
+            number += 1
+
+        def chains_of(i: int) -> list[tuple]:
+            part = table[cuts[i] : ends[i]]
             part = part[np.argsort(part[:, 1], kind="stable")]
-            found += [(int(part[0, 2]), int(part[0, 5]), xs[0], xs[-1] + K, ys[0], ys[-1] + K, steps(xs, ys)) for xs, ys in linked(part[:, 1], part[:, 3])]
-        wide = [p for p in _merged([(x0 - REACH, x1 + REACH) for _, _, x0, x1, *_ in found], JOIN_GAP) if p[1] - p[0] >= min_words]
-        starts = np.array([p[0] for p in wide])
-        for owner, owner_text, x0, x1, y0, y1, between in found:
-            i = int(np.searchsorted(starts, x0 - REACH, side="right")) - 1 if wide else -1
-            if i >= 0 and x1 <= wide[i][1]:
-                rows.append((number, doc, text, x0, x1, owner, owner_text, y0, y1, between))
-                number += 1
+            return [(int(part[0, 2]), int(part[0, 5]), xs, ys) for xs, ys in linked(part[:, 1], part[:, 3])]
+
+        wide = long_alone(low, high + K, min_words)
+        for i in np.flatnonzero(wide):
+            for chain in chains_of(i):
+                if long_alone(chain[2][0], chain[2][-1] + K, min_words):
+                    keep(*chain)
+                    alone.append((chain[2][0], chain[2][-1] + K))
+                else:
+                    short.append(chain)
+        inside = covers(dense, low, high + K, whole=False) & ~covers(spans(alone), low, high + K) & ~wide
+        short += [chain for i in np.flatnonzero(inside) for chain in chains_of(i)]
+        if short:
+            low, high = (np.array([chain[2][e] for chain in short]) for e in (0, -1))
+            for i in np.flatnonzero(covers(dense, low, high + K, whole=False) & ~covers(spans(alone), low, high + K)):
+                keep(*short[i])
 
     for batch in batches:
         table = np.stack([batch.column(c).to_numpy() for c in ("doc", "at", "owner", "place", "part", "owner_part")], axis=1)
@@ -274,18 +384,6 @@ def common_words(a: list[int], b: list[int], most: int) -> int | None:
     return None
 
 
-def align(x: list[int], x0: int, x1: int, y: list[int], y0: int, y1: int, identity: float) -> tuple[int, int, int, int, int] | None:
-    """Ends extended over equal words, and how many words align; None if the
-    two sides are too different. Places are into ``x`` and ``y``."""
-    while x0 > 0 and y0 > 0 and x[x0 - 1] == y[y0 - 1]:
-        x0, y0 = x0 - 1, y0 - 1
-    while x1 < len(x) and y1 < len(y) and x[x1] == y[y1]:
-        x1, y1 = x1 + 1, y1 + 1
-    size = x1 - x0 + y1 - y0
-    same = common_words(x[x0:x1], y[y0:y1], int((1 - identity) * size))
-    return None if same is None or 2 * same < identity * size else (x0, x1, y0, y1, same)
-
-
 def extension(a: list[int], b: list[int], identity: float, drop: float = DROP) -> tuple[int, int, int]:
     """How many words of both sides to add, and how many of them align.
 
@@ -326,26 +424,27 @@ def parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: fl
     """The parts of :func:`whole_parts` with their ends extended over edits."""
     out = []
     for x0, x1, y0, y1, same in whole_parts(x, xs, y, ys, identity, k):
-        before = extension(x[:x0][::-1], y[:y0][::-1], identity)
-        after = extension(x[x1:], y[y1:], identity)
+        before = extension(x[max(0, x0 - REACH) : x0][::-1], y[max(0, y0 - REACH) : y0][::-1], identity)
+        after = extension(x[x1 : x1 + REACH], y[y1 : y1 + REACH], identity)
         out.append((x0 - before[0], x1 + after[0], y0 - before[1], y1 + after[1], same + before[2] + after[2]))
     return out
 
 
 def whole_parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
-    """The chain of anchors aligned as in :func:`align`, whole or, where it is
-    too different, split between the anchors with the most edits."""
-    whole = align(x, xs[0], xs[-1] + k, y, ys[0], ys[-1] + k, identity)
-    if whole or len(xs) == 1:
-        return [whole] if whole else []
-    size = np.array([b - a + d - c for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False)])
-    same = np.array([common_words(x[a:b], y[c:d], b - a + d - c) for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False)])
+    """(x0, x1, y0, y1, words that align) of the chain of anchors, whole or,
+    where it is too different, split between the anchors with the most edits;
+    ends extended over equal words."""
+    dx, dy = np.diff(xs), np.diff(ys)
+    size, same = dx + dy, dx.copy()
+    for i in np.flatnonzero((dx != dy) | (dx > k)):
+        same[i] = common_words(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], int(size[i]))
     edits = size - 2 * same
+    size, same = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(same)])
     out, todo = [], [(0, len(xs) - 1)]
     while todo:
         i, j = todo.pop()
-        words = int(same[i:j].sum()) + k
-        if 2 * words < identity * (int(size[i:j].sum()) + 2 * k):
+        words = int(same[j] - same[i]) + k
+        if 2 * words < identity * (int(size[j] - size[i]) + 2 * k):
             at = i + int(edits[i:j].argmax())
             todo += [(i, at), (at + 1, j)]
             continue
@@ -358,6 +457,30 @@ def whole_parts(x: list[int], xs: list[int], y: list[int], ys: list[int], identi
     return out
 
 
+def sides_of(blocks: tuple[dict[int, bytes], dict[int, bytes]], xs: list[int], ys: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Words of both sides from the first block of each, and where these begin.
+
+    Words that were not fetched stand in runs known to be equal: they take the
+    word of the other side, or, where neither was fetched, a number of their own.
+    """
+    words, base = [], []
+    for n, (side, at) in enumerate(zip(blocks, (xs, ys), strict=True)):
+        lo = min(side) * BLOCK
+        row = np.full(max(at[-1] + K, max(b * BLOCK + len(raw) // 4 for b, raw in side.items())) - lo, -1 - n, dtype=np.int64)
+        for b, raw in side.items():
+            row[b * BLOCK - lo : b * BLOCK - lo + len(raw) // 4] = np.frombuffer(raw, dtype=np.uint32)
+        words.append(row)
+        base.append(lo)
+    gaps = gaps_of(xs, ys)
+    for i, j in zip([0, *(gaps + 1)], [*gaps, len(xs) - 1], strict=True):
+        x, y = words[0][xs[i] - base[0] : xs[j] + K - base[0]], words[1][ys[i] - base[1] : ys[j] + K - base[1]]
+        known = np.where(x >= 0, x, y)
+        known = np.where(known >= 0, known, (1 << 32) + np.arange(xs[i], xs[j] + K))
+        x[x < 0] = known[x < 0]
+        y[y < 0] = known[y < 0]
+    return [row.tolist() for row in words], base
+
+
 ALIGNED_DDL = "doc long, part long, x0 long, x1 long, owner long, y0 long, y1 long, same long, chain long"
 
 
@@ -371,13 +494,10 @@ def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.Re
         chain, doc, part, x0, owner, y0, between = now
         if not sides[0] or not sides[1]:
             return
-        text, base = [], []
-        for side in sides:
-            first = min(side)
-            base.append(first * BLOCK)
-            text.append(np.frombuffer(b"".join(side[b] for b in sorted(side)), dtype=np.uint32).tolist())
         dx, dy = np.frombuffer(between, dtype=np.uint8).reshape(-1, 2).T.astype(np.int64)
-        xs, ys = ([at, *(at + np.cumsum(d)).tolist()] for at, d in ((x0 - base[0], dx), (y0 - base[1], dy)))
+        xs, ys = ([at, *(at + np.cumsum(d)).tolist()] for at, d in ((x0, dx), (y0, dy)))
+        text, base = sides_of(sides, xs, ys)
+        xs, ys = ([v - at for v in side] for side, at in zip((xs, ys), base, strict=True))
         for a0, a1, b0, b1, same in parts(text[0], xs, text[1], ys, identity):
             rows.append((doc, part, a0 + base[0], a1 + base[0], owner, b0 + base[1], b1 + base[1], same, chain))
 
@@ -459,21 +579,22 @@ def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """One row per passage of a document that an earlier document has."""
     base = _parts(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")))
-    seeds = base.mapInArrow(_seeds, "h long, doc long, at long, part long")
+    seeds = base.mapInArrow(_seeds, SEEDS_DDL)
     anchors = seeds.repartition("h").sortWithinPartitions("h", "doc", "part", "at").mapInArrow(_anchors, "doc long, at long, owner long, place long, part long, owner_part long")
     chained = materialize(anchors.repartition("doc", "part").sortWithinPartitions("doc", "part", "owner", "owner_part").mapInArrow(lambda it: _chain(it, min_words), CHAIN_DDL))
 
-    def asked(side: int, doc: str, part: str, start: str, end: str) -> DataFrame:
-        from_, to = F.greatest(F.col(start) - REACH, F.lit(0)), F.col(end) + REACH - 1
-        blocks = F.sequence((from_ / BLOCK).cast("long"), (to / BLOCK).cast("long"))
-        return chained.select("*", F.lit(side).alias("side"), F.col(doc).alias("from"), F.col(part).alias("from_part"), F.explode(blocks).alias("block"))
+    head = ("chain", "doc", "part", "x0", "owner", "y0", "steps")
+
+    def asked(side: int, doc: str, part: str, blocks: str) -> DataFrame:
+        return chained.select(*head, F.lit(side).alias("side"), F.col(doc).alias("from"), F.col(part).alias("from_part"), F.explode(blocks).alias("block"))
 
-    wanted = asked(0, "doc", "part", "x0", "x1").union(asked(1, "owner", "owner_part", "y0", "y1"))
+    wanted = asked(0, "doc", "part", "x_blocks").union(asked(1, "owner", "owner_part", "y_blocks"))
     lists = materialize(wanted.select(F.col("from").alias("doc"), F.col("from_part").alias("part"), "block").distinct().groupBy("doc", "part").agg(F.collect_list("block").alias("blocks")))
-    few = lists.count() <= BROADCAST_IDS
+    size = lists.agg(F.sum(32 + 8 * F.size("blocks"))).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     found = base.join(F.broadcast(lists) if few else lists, ["doc", "part"]).select("doc", "part", "blocks", "text")
     blocks = found.mapInArrow(_blocks, "doc long, part long, block long, words binary").withColumnsRenamed({"doc": "from", "part": "from_part"})
-    together = wanted.join(blocks, ["from", "from_part", "block"]).select("chain", "doc", "part", "x0", "owner", "y0", "steps", "side", "block", "words")
+    together = wanted.join(blocks, ["from", "from_part", "block"]).select(*head, "side", "block", "words")
     aligned = together.repartition("chain").sortWithinPartitions("chain", "side", "block").mapInArrow(lambda it: _align(it, identity), ALIGNED_DDL)
     return aligned.repartition("doc", "part").sortWithinPartitions("doc", "part").mapInArrow(lambda it: _passages(it, min_words), PASSAGES_DDL)
 

@@ -199,10 +199,10 @@ def test_best_chain_against_all_predecessors(seed):
 
 
 def test_a_collinear_run_is_one_chain():
-    at = np.arange(0, 200, 5)
-    assert substring_dedup.chains(at, at + 40) == [(0, 201, 40, 241)]
+    at, end = np.arange(0, 200, 5), 195 + substring_dedup.K
+    assert substring_dedup.chains(at, at + 40) == [(0, end, 40, end + 40)]
     far = np.concatenate([at, at + 1_000])
-    assert sorted(substring_dedup.chains(far, far)) == [(0, 201, 0, 201), (1_000, 1_201, 1_000, 1_201)]
+    assert sorted(substring_dedup.chains(far, far)) == [(0, end, 0, end), (1_000, 1_000 + end, 1_000, 1_000 + end)]
 
 
 def test_forward_equals_the_sum_over_paths():
@@ -388,6 +388,44 @@ def test_passages_with_edits_at_a_fixed_step_are_found(step, size):
         assert any(f[2] - f[1] >= 0.9 * size and f[8] >= 0.8 for f in found)
 
 
+def test_chunks_resolve_seeds_like_one():
+    rng = np.random.default_rng(5)
+    shared = [" ".join(f"s{k}w{i}" for i in range(30)) for k in range(3)]
+    texts = [(int(d), 0, " ".join([shared[rng.integers(3)], *(f"r{rng.integers(99)}" for _ in range(20)), shared[rng.integers(3)]])) for d in rng.permutation(40)]
+    columns = [pa.array(c) for c in zip(*texts, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc", "part", "text"])
+    found = []
+    for chunk in (1 << 40, 100):
+        seeds = pa.Table.from_batches(substring_dedup._seeds(iter([batch]), chunk)).sort_by([("h", "ascending"), ("doc", "ascending"), ("at", "ascending")])
+        anchors = pa.Table.from_batches(substring_dedup._anchors(iter(seeds.to_batches(max_chunksize=97))))
+        found.append({(r["doc"], r["at"]) for r in anchors.to_pylist()})
+        assert all(r["owner"] < r["doc"] for r in anchors.to_pylist())
+    assert found[0] == found[1]
+    hot = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array([0] * 900), pa.array([shared[0]] * 900)], names=["doc", "part", "text"])
+    sent = pa.Table.from_batches(substring_dedup._seeds(iter([hot])))
+    assert sent["owner"].null_count == len(substring_dedup.minimizers(substring_dedup.word_hashes(shared[0]))[0])
+
+
+def test_words_that_were_not_fetched():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        new = lambda n: rng.integers(0, 2**31, n)
+        run = new(400)
+        other = np.concatenate([run[:150], new(int(rng.integers(0, 9))), run[int(rng.integers(150, 160)) :]])
+        a, b = np.concatenate([new(70), run, new(70)]), np.concatenate([new(33), other, new(70)])
+        (ha, xa), (hb, xb) = (substring_dedup.minimizers(t.astype(np.uint64)) for t in (a, b))
+        owned = dict(zip(hb.tolist(), xb.tolist(), strict=True))
+        pairs = np.array([(int(x), owned[h]) for h, x in zip(ha.tolist(), xa.tolist(), strict=True) if h in owned])
+        for xs, ys in substring_dedup.linked(*pairs.T):
+            gaps, size = substring_dedup.gaps_of(xs, ys), substring_dedup.BLOCK
+            blocks = tuple({n: t[n * size : (n + 1) * size].astype(np.uint32).tobytes() for n in substring_dedup.wanted_blocks(s, gaps) if n * size < len(t)} for t, s in ((a, xs), (b, ys)))
+            text, base = substring_dedup.sides_of(blocks, xs, ys)
+            got = substring_dedup.parts(text[0], [x - base[0] for x in xs], text[1], [y - base[1] for y in ys], 0.8)
+            whole = substring_dedup.parts(a.tolist(), xs, b.tolist(), ys, 0.8)
+            assert [(p[0] + base[0], p[1] + base[0], p[2] + base[1], p[3] + base[1], p[4]) for p in got] == whole
+            assert len(blocks[0]) < len(a) / size
+
+
 @given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_extensions_keep_the_identity(a, b):
