@@ -6,7 +6,6 @@ are the labelled references. ``NLIST`` is small, as the tables are.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from nearvote.functions.features import Q
 from nearvote.operators import evaluate, ivf, knn, layout
 from nearvote.plans import oracles
 from nearvote.sources import fixtures, records
+from nearvote.sources.shared import shared_dir
 from nearvote.streaming import scorer
 
 NLIST, GROUP = oracles.NLIST, oracles.GROUP
@@ -207,8 +207,7 @@ def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="nearvote-")
-    return f"{shared.rstrip('/')}/nearvote-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/nearvote-{uuid.uuid4().hex}"
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
