@@ -11,9 +11,12 @@ from nearvote.llm.common import documents
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels, or None where there is no such table."""
     try:
         return spark.read.parquet(f"{sf_dir}/labels.parquet")
-    except AnalysisException:  # the table is optional
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
