@@ -7,13 +7,15 @@ on is how many pieces there are of each length: a histogram of at most
 ``capacity`` rows, which is all that reaches the driver, at any corpus size.
 
 Bin completion runs on that histogram. A bin is built around the largest piece
-left; candidate fillings of the rest are the maximal ones that no other
-dominates (one piece that fills the rest exactly dominates all). Choosing a
-filling sets as many equal bins at once as the counts allow. Depth-first
-branch and bound starts from best-fit decreasing as incumbent, and cuts off a
-branch when its waste exceeds what the incumbent leaves. It ends when the lower
-bound is reached or after ``NODES`` nodes (a search budget: every piece is
-packed either way, only optimality may be given up).
+left, with each of the undominated fillings of the rest in turn, the least waste
+first: those where no piece left out could be added, or take the place of some
+that waste more. They are made one at a time, so none is left out and few
+are made. Choosing a filling sets as many equal bins at once as the counts
+allow, then fewer. Depth-first branch and bound starts from best-fit decreasing
+as incumbent, and cuts off a branch when its bins and the lower bound of the
+rest reach the incumbent. It ends when the lower bound is reached, when all is
+searched, or after ``nodes`` nodes (a parameter: every piece is packed either
+way, only optimality may be given up).
 
 The patterns become slots by length: the r-th piece of a length goes to a place
 that arithmetic gives. Pieces of one length are ranked within buckets of about
@@ -33,6 +35,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,6 @@ from nearvote.llm.common import materialize
 CAPACITY = 2048
 END = 0
 NODES = 3_000
-WIDTH = 4
 BUCKET = 50_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -142,42 +145,69 @@ def _filled(filling: Filling) -> int:
     return sum(x * k for x, k in filling)
 
 
-def _dominated(a: Filling, b: Filling) -> bool:
-    """Whether some single piece of b alone is at least all of a."""
-    return len(b) == 1 and b[0][1] == 1 and b[0][0] >= _filled(a)
-
-
-def fillings(rest: int, counts: np.ndarray, width: int = WIDTH) -> list[Filling]:
-    """Undominated maximal fillings of ``rest``, the least waste first."""
-    fit = _fit(counts)
-    one = int(fit[rest])
-    if one == 0:
-        return [()]
-    if one == rest:
-        return [((one, 1),)]
-    found = {_complete((one,), rest, counts, fit)}
-    lengths = np.nonzero(counts[: one + 1])[0][::-1]
-    second = fit[np.clip(rest - lengths, 0, None)]
-    second = np.where((second == lengths) & (counts[lengths] < 2), fit[np.clip(second - 1, 0, None)], second)
-    sums = lengths + second
-    order = np.argsort(-sums, kind="stable")[: 4 * width]
-    found.update(_complete((int(lengths[i]), *([int(second[i])] if second[i] else [])), rest, counts, fit) for i in order)
-    if max(map(_filled, found)) < rest and len(lengths) > 1:  # no exact pair: look at triples
-        best: list[tuple[int, int, int, int]] = []
-        for a in lengths[:256]:
-            b = lengths[lengths <= min(a, rest - a)]
-            if not len(b):
-                continue
-            c = fit[np.minimum(rest - a - b, b)]
-            total = np.where(c > 0, a + b + c, 0)
-            k = int(np.argmax(total))
-            best.append((int(total[k]), int(a), int(b[k]), int(c[k])))
-        for total, *abc in sorted(best, reverse=True)[:width]:
-            need = {x: abc.count(x) for x in abc}
-            if total and all(counts[x] >= k for x, k in need.items()):
-                found.add(_complete(tuple(abc), rest, counts, fit))
-    keep = [f for f in found if not any(f != g and _dominated(f, g) for g in found)]
-    return sorted(keep, key=lambda f: (-_filled(f), len(f), tuple(-x for x, _ in f)))[:width]
+def dominated(filling: Filling, waste: int, counts: np.ndarray) -> bool:
+    """Whether a piece left out could be added, or could take the place of some
+    of ``filling``: of less length by at most ``waste``, or of equal length in
+    several pieces. Bit n of an integer stands for the length n."""
+    used = dict(filling)
+    free = sum(1 << x for x in np.flatnonzero(counts).tolist() if counts[x] > used.get(x, 0))
+    if free & ((2 << waste) - 1):
+        return True
+    one = several = 0  # sums of at least one piece, and of at least two
+    for x, k in filling:
+        for _ in range(k):
+            several |= several << x | one << x
+            one |= one << x | 1 << x
+    reach, width = one << 1 if waste else 0, 1
+    while width < waste:  # one << d for every d from 1 to waste
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool(free & (reach | several))
+
+
+def fillings(rest: int, counts: np.ndarray) -> Iterator[Filling]:
+    """All undominated fillings of ``rest``, the least waste first, one at a time."""
+    lengths = np.flatnonzero(counts[: rest + 1])[::-1].tolist()
+    sums, full = [1], (2 << rest) - 1
+    for x in reversed(lengths):  # sums[i]: sums that lengths[i:] can make
+        made, more, step = sums[-1], min(int(counts[x]), rest // x), 1
+        while more:
+            step = min(step, more)
+            made |= made << step * x & full
+            more -= step
+            step *= 2
+        sums.append(made)
+    sums.reverse()
+
+    def exact(i: int, r: int) -> Iterator[Filling]:
+        if not r:
+            yield ()
+            return
+        while sums[i] >> r & 1 and i < len(lengths):
+            x = lengths[i]
+            for k in range(min(int(counts[x]), r // x), 0, -1):
+                if sums[i + 1] >> r - k * x & 1:
+                    for tail in exact(i + 1, r - k * x):
+                        yield ((x, k), *tail)
+            i += 1
+
+    for waste in range(rest + 1):
+        if sums[0] >> rest - waste & 1:
+            yield from (f for f in exact(0, rest - waste) if not dominated(f, waste, counts))
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that the pieces need at least: for every threshold a, pieces over
+    ``capacity - a`` stand alone, those over half a bin apart, and those of a or
+    more must fit what these leave."""
+    x = np.arange(len(counts))
+    many, size = (np.concatenate([[0], np.cumsum(v)]) for v in (counts, counts * x))  # of lengths under n
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    alone, apart = many[-1] - many[half + 1], many[capacity - a + 1] - many[half + 1]
+    room = apart * capacity - (size[capacity - a + 1] - size[half + 1])
+    rest = size[half + 1] - size[a]
+    return int((alone + np.maximum(0, -((room - rest) // capacity))).max())
 
 
 def _times(largest: int, filling: Filling, counts: np.ndarray) -> int:
@@ -189,59 +219,90 @@ def _times(largest: int, filling: Filling, counts: np.ndarray) -> int:
 Bin = tuple[int, Filling]  # how many equal bins, and the pieces of each
 
 
+@dataclass
+class _Node:
+    """A bin around ``largest``: fillings seen so far, and the one that is set."""
+
+    largest: int
+    barred: frozenset[Filling]  # tried for the same largest piece above
+    tried: list[Filling] = field(default_factory=list)
+    seen: int = 0
+    filling: Filling | None = None
+    times: int = 0
+
+
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Bin]:
-    """Bins for ``{length: count}``, few as the search finds."""
+    """Bins for ``{length: count}``, few as the search finds.
+
+    Depth first: a node sets bins around the largest piece left with one
+    filling, as many equal ones as there can be, later fewer. Bins around the
+    same piece take fillings in the order in which these were tried, so no
+    combination comes twice. A branch ends when its bins and the
+    lower bound of the rest reach the incumbent, which starts from best fit and
+    is renewed by it at every 16th node. The search is complete unless it
+    has used ``nodes`` nodes (or twice the number of lengths, if that is more, so
+    that it comes down to a whole packing).
+    """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for x, n in histogram.items():
         counts[x] = n
-    total = sum(x * n for x, n in histogram.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best, best_n = _best_fit(counts.copy(), capacity)
-    # Frames of the depth-first search: bins set so far, fillings to try yet.
-    path: list[tuple[int, int, Filling]] = []
-    todo: list[list[tuple[int, Filling]]] = []
-    used, left = 0, total
-
-    def open_node() -> None:
-        largest = int(np.nonzero(counts)[0][-1])
-        counts[largest] -= 1
-        options = fillings(capacity - largest, counts)
-        counts[largest] += 1
-        todo.append([(largest, f) for f in reversed(options)])
+    path: list[_Node] = []
+    used, spent, budget = 0, 0, max(nodes, 2 * len(histogram))
+
+    def change(node: _Node, sign: int) -> None:
+        nonlocal used
+        used += sign * node.times
+        counts[node.largest] -= sign * node.times
+        for x, k in node.filling:
+            counts[x] -= sign * k * node.times
+
+    def following(node: _Node) -> bool:
+        """Set the node's next filling, or the last one in fewer bins."""
+        if node.filling is not None:
+            change(node, -1)
+            node.times -= 1
+            if node.times:
+                change(node, 1)
+                return True
+        counts[node.largest] -= 1
+        for filling in islice(fillings(capacity - node.largest, counts), node.seen, None):
+            node.seen += 1
+            if filling not in node.barred:
+                break
+        else:
+            filling = None
+        counts[node.largest] += 1
+        if filling is None:
+            return False
+        node.filling, node.times = filling, _times(node.largest, filling, counts)
+        node.tried.append(filling)
+        change(node, 1)
+        return True
+
+    def down() -> None:
+        largest = int(np.flatnonzero(counts)[-1])
+        above = path[-1] if path and path[-1].largest == largest else None
+        path.append(_Node(largest, above.barred.union(above.tried) if above else frozenset()))
 
     if best_n > bound:
-        open_node()
-    while todo and nodes > 0 and best_n > bound:
-        if not todo[-1]:
-            todo.pop()
-            if path:
-                times, largest, f = path.pop()
-                used -= times
-                left += times * (largest + _filled(f))
-                counts[largest] += times
-                for x, k in f:
-                    counts[x] += k * times
+        down()
+    while path and best_n > bound and spent < budget:
+        if not following(path[-1]):
+            path.pop()
             continue
-        largest, f = todo[-1].pop()
-        times = _times(largest, f, counts)
-        if times < 1:
+        spent += 1
+        if used + lower_bound(counts, capacity) >= best_n:
             continue
-        nodes -= 1
-        counts[largest] -= times
-        for x, k in f:
-            counts[x] -= k * times
-        used += times
-        left -= times * (largest + _filled(f))
-        path.append((times, largest, f))
-        if left == 0:
-            if used < best_n:
-                best_n = used
-                best = [(n, _whole(x, g)) for n, x, g in path]
-            todo.append([])
-        elif used + -(-left // capacity) >= best_n:  # waste so far leaves no way under the incumbent
-            todo.append([])
-        else:
-            open_node()
+        if not counts.any():
+            best, best_n = [(n.times, _whole(n.largest, n.filling)) for n in path], used
+            continue
+        if spent % 16 == 0:
+            rest, n = _best_fit(counts.copy(), capacity)
+            if used + n < best_n:
+                best, best_n = [(n.times, _whole(n.largest, n.filling)) for n in path] + rest, used + n
+        down()
     return best
 
 

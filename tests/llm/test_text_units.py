@@ -110,7 +110,25 @@ def test_packing_against_all_partitions(sizes):
 
     exact = best(sorted(sizes, reverse=True), [])
     got = sum(t for t, _ in packing.pack_histogram(dict(collections.Counter(sizes)), capacity=20))
-    assert exact <= got <= exact + (len(sizes) > 6)
+    assert got == exact
+
+
+@given(st.integers(1, 16), st.lists(st.integers(1, 12), min_size=1, max_size=7))
+@settings(max_examples=200, deadline=None)
+def test_fillings_are_the_undominated_ones(rest, sizes):
+    import itertools
+
+    def fits(small, large):  # the pieces of small go into bins the sizes of large
+        if not small:
+            return True
+        return any(r >= small[0] and fits(small[1:], large[:i] + (r - small[0],) + large[i + 1 :]) for i, r in enumerate(large))
+
+    every = {c for n in range(len(sizes) + 1) for c in itertools.combinations(sorted(sizes, reverse=True), n) if sum(c) <= rest}
+    best = {c for c in every if not any(d != c and fits(c, d) for d in every)}
+    counts = np.bincount(sizes, minlength=17)
+    got = [tuple(x for x, k in f for _ in range(k)) for f in packing.fillings(rest, counts)]
+    assert set(got) == best and len(got) == len(best)
+    assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
 
 
 def test_tokens_equal_the_tokenizer():
