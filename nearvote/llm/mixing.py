@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import WORD, materialize, text_or_empty, whole_row
+from nearvote.llm.common import BROADCAST_IDS, WORD, discard, materialize, text_or_empty, whole_row
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -84,18 +84,21 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: the last hash taken once more, and the passes before.
 
     A document is taken ``passes`` times, and once more if its hash is at most
-    ``cut``.
+    ``cut``. Each level's boundaries (a row per source) are written, so that a
+    level's plan reads them instead of holding all levels before it.
     """
     passes, rest = _rest(F.col("source_size"), F.col("target"))
     # at: the high bits of the boundary bucket so far; done: the sum below it.
-    edge = targets.select("source", "source_size", "target", passes.alias("passes"), rest.alias("rest"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("done"))
+    edge = materialize(targets.select("source", "source_size", "target", passes.alias("passes"), rest.alias("rest"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("done")))
+    few = edge.count() <= BROADCAST_IDS
+    by_source = F.broadcast if few else lambda table: table
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         bucket = F.shiftright("hash", shift)
-        known = edge.select(F.col("source").alias("s"), F.col("at").alias("above"))
+        known = by_source(edge.select(F.col("source").alias("s"), F.col("at").alias("above")))
         inside = sizes if level == 1 else sizes.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("above"))).select("source", "size", "hash")
         histogram = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")).withColumnRenamed("source", "hs")
-        joined = histogram.join(edge, F.col("hs").eqNullSafe(F.col("source")))
+        joined = histogram.join(by_source(edge), F.col("hs").eqNullSafe(F.col("source")))
         by = W.partitionBy("source").orderBy("bucket")
         running = joined.withColumn("through", F.col("done") + F.sum("words").over(by))
         # The first bucket whose running sum reaches the rest; else the last one.
@@ -103,7 +106,9 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         last = F.max(F.struct("bucket", "words", "through")).alias("l")
         picked = running.groupBy("source", "source_size", "target", "passes", "rest").agg(crossing, last)
         b = F.coalesce(F.col("c"), F.col("l"))
-        edge = picked.select("source", "source_size", "target", "passes", "rest", b["bucket"].alias("at"), (b["through"] - b["words"]).alias("done"), b["through"].alias("through"))
+        step = materialize(picked.select("source", "source_size", "target", "passes", "rest", b["bucket"].alias("at"), (b["through"] - b["words"]).alias("done"), b["through"].alias("through")))
+        discard(edge)
+        edge = step
     nearer = F.abs(F.col("through") - F.col("rest")) < F.abs(F.col("done") - F.col("rest"))
     cut = F.when(nearer, F.col("at")).otherwise(F.col("at") - 1)
     return edge.select(F.col("source").alias("s"), "source_size", "target", "passes", cut.alias("cut"))
