@@ -98,7 +98,7 @@ LOCAL_DDL = "doc_id long, uid long, text_sha256 string, len long, h long, bytes
 
 def _combine(batches: Iterator[pa.RecordBatch], local_bytes: int) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 33
-    trie, terminals, waiting = Patricia(), [], []
+    trie, waiting = Patricia(), []
 
     def flush() -> Iterator[pa.RecordBatch]:
         # A terminal: [uid, low, n, len, h, bytes]; its first row carries the text.
@@ -124,7 +124,7 @@ def _combine(batches: Iterator[pa.RecordBatch], local_bytes: int) -> Iterator[pa
             low = NO_ID if doc_id is None else doc_id
             if node[2] is None:
                 node[2] = [uid, low, 0, len(raw), h, raw]
-                terminals.append(node[2])
+                trie.size += len(raw)  # the terminal holds the whole text, too
                 uid += 1
             t = node[2]
             t[1] = min(t[1], low)
@@ -132,7 +132,7 @@ def _combine(batches: Iterator[pa.RecordBatch], local_bytes: int) -> Iterator[pa
             waiting.append((doc_id, sha, t))
             if trie.size > local_bytes or len(waiting) > 200_000:
                 yield from flush()
-                trie, terminals, waiting = Patricia(), [], []
+                trie, waiting = Patricia(), []
     yield from flush()
 
 
