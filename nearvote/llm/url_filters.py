@@ -1,10 +1,11 @@
 """URL filters: pattern rules fetched by their rarest literal token, all native.
 
 A rule is a regular expression over the canonical URL (lower-case host, then
-path) plus the literal tokens that every URL it matches must contain. The rule
-is filed under the one of its tokens that is rarest among the URLs. A URL is
-cut into tokens; those that are keys of the index fetch candidate rules, and
-only candidates run their regular expression.
+path). The literal tokens that every URL it matches must contain are read off
+the expression (:func:`literal_tokens`), and the rule is filed under the one that
+is rarest among the URLs. A URL is cut into tokens; those that are keys of the
+index fetch candidate rules, and only candidates run their regular expression.
+A rule without such a token is a candidate for every URL.
 
 Two ways to fetch, chosen by the number of rules (a checked bound):
  * up to ``MAX_INLINE`` rules the index is a literal and the whole operator is
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as re_parts
+from re import _parser as re_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,38 +36,103 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is reported for base rules; ``tokens`` are lower-case literals."""
+    """A regular expression over host and path; ``name`` is reported."""
 
     name: str
     pattern: str
-    tokens: tuple[str, ...]
     block: bool
-    base: bool
+    base: bool = False
 
     @property
     def rank(self) -> int:
         return self.base * 1_000_000 + len(self.name)
 
+    @property
+    def tokens(self) -> tuple[str, ...]:
+        return literal_tokens(self.pattern)
+
+
+def _separates(node: tuple) -> bool:
+    """Whether all that a node matches is one character that is in no token."""
+    kind, value = node
+    if kind is re_parts.LITERAL:
+        return not chr(value).isalnum()
+    if kind is re_parts.IN:
+        return all(k is re_parts.LITERAL and not chr(v).isalnum() for k, v in value)
+    return False
+
+
+def _apart(nodes: list[tuple], end: bool) -> bool:
+    """Whether what ``nodes`` match always ends (or begins) with a character that
+    is in no token, or at an end of the URL; an optional node may be absent."""
+    for node in reversed(nodes) if end else nodes:
+        kind, value = node
+        if kind is re_parts.AT:
+            return value in (re_parts.AT_BEGINNING, re_parts.AT_END)
+        if kind is re_parts.SUBPATTERN:
+            return _apart(list(value[3]), end)
+        if kind is not re_parts.MAX_REPEAT:
+            return _separates(node)
+        least, _, inner = value
+        if not _apart(list(inner), end):
+            return False
+        if least:
+            return True
+    return False
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Lower-case tokens that every URL that the expression fits must contain.
+
+    Runs of literal characters at its top level, cut at characters that are in no
+    token; the first and the last piece of a run count only where what stands
+    beside them cannot go on with the token. Alternatives and optional parts
+    give none, and an expression that cannot be read has none.
+    """
+    try:
+        nodes = list(re_parser.parse(pattern))
+    except (re.error, OverflowError):
+        return ()
+    found, i = [], 0
+    while i < len(nodes):
+        j = i
+        while j < len(nodes) and nodes[j][0] is re_parts.LITERAL:
+            j += 1
+        if j > i:
+            run = "".join(chr(v) for _, v in nodes[i:j])
+            pieces = re.split(r"[^a-z0-9]+", run.lower())
+            if not _apart(nodes[:i], True):
+                pieces[0] = ""
+            if not _apart(nodes[j:], False):
+                pieces[-1] = ""
+            found += [t for t in pieces if t and run.isascii()]
+        i = max(j, i + 1)
+    return tuple(dict.fromkeys(found))
+
+
+def read_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table of name, pattern, block and base, in order of name.
+
+    A rule list is read to the driver whole: it is a parameter, not data.
+    """
+    rows = table.select("name", "pattern", "block", F.coalesce("base", F.lit(False)).alias("base")).orderBy("name", "pattern").collect()
+    return tuple(Rule(r["name"], r["pattern"], r["block"], r["base"]) for r in rows)
+
 
 def site_rule(text: str, block: bool) -> Rule:
     """``host/path``: the host with its subdomains, and paths that begin so."""
     host, _, path = text.partition("/")
-    path = "/" + path
-    # The last piece of the path may go on in a URL, so it is no whole token.
-    whole = re.split(r"[^a-z0-9]+", host) + re.split(r"[^a-z0-9]+", path.lower())[:-1]
-    pattern = rf"^([^/?#]*\.)?{_quote(host)}{_quote(path)}"
-    return Rule(text, pattern, tuple(t for t in whole if t), block, True)
+    return Rule(text, rf"^([^/?#]*\.)?{_quote(host)}{_quote('/' + path)}", block, True)
 
 
 def label_rule(name: str, words: tuple[str, ...], block: bool = True) -> Rule:
     """Hosts that have these words, one after the other, as parts of labels."""
-    body = "[.-]".join(map(_quote, words))
-    return Rule(name, rf"^([^/?#]*[.-])?{body}([.-][^/?#]*)?(/.*)?$", words, block, False)
+    return Rule(name, rf"^([^/?#]*[.-])?{'[.-]'.join(map(_quote, words))}([.-][^/?#]*)?(/.*)?$", block)
 
 
 def path_rule(name: str, word: str, block: bool = True) -> Rule:
     """Paths that have the word as a whole segment."""
-    return Rule(name, rf"^[^/?#]*/([^?#]*/)?{_quote(word)}(/.*)?$", (word,), block, False)
+    return Rule(name, rf"^[^/?#]*/([^?#]*/)?{_quote(word)}(/.*)?$", block)
 
 
 def _quote(text: str) -> str:
@@ -100,41 +168,44 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def index(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
-    """Rarest token of each rule -> positions of rules.
+    """Rarest token of each rule -> positions of rules ("": rules without one).
 
     Counts are of the rules' own tokens only, so at most as many rows as the
     rules have tokens reach the driver.
     """
-    known = sorted({t for r in rules for t in r.tokens})
+    needed = [r.tokens for r in rules]
+    known = sorted({t for found in needed for t in found})
     counted = urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, known)))).alias("t")) if known else None
     seen = {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.count("*").alias("n")).collect()} if known else {}
     filed: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules):
-        filed.setdefault(min(rule.tokens, key=lambda t: (seen.get(t, 0), -len(t), t)), []).append(k)
+    for k, found in enumerate(needed):
+        filed.setdefault(min(found, key=lambda t: (seen.get(t, 0), -len(t), t), default=""), []).append(k)
     return filed
 
 
 def _best_inline(filed: dict[str, list[int]], rules: tuple[Rule, ...]) -> Column:
-    """Position of the rule that wins, or null."""
-    if not filed:
-        return F.lit(None).cast("int")
-    keys = sorted(filed)
-    lists = F.create_map(*(x for t in keys for x in (F.lit(t), F.array(*map(F.lit, filed[t])))))
-    patterns = F.array(*(F.lit(r.pattern) for r in rules))
-    ranks = F.array(*(F.lit(r.rank) for r in rules))
-    fetched = F.flatten(F.transform(F.array_intersect("tokens", F.array(*map(F.lit, keys))), lambda t: F.element_at(lists, t)))
+    """(rank, -k) of the rule that wins, or null."""
+    fetched = F.array(*(F.lit(k) for k in filed.get("", ()))).cast("array<int>")
+    keys = sorted(filed.keys() - {""})
+    if keys:
+        lists = F.create_map(*(x for t in keys for x in (F.lit(t), F.array(*map(F.lit, filed[t])))))
+        found = F.transform(F.array_intersect("tokens", F.array(*map(F.lit, keys))), lambda t: F.element_at(lists, t))
+        fetched = F.concat(fetched, F.flatten(found))
+    patterns = F.array(*(F.lit(r.pattern) for r in rules)).cast("array<string>")
+    ranks = F.array(*(F.lit(r.rank) for r in rules)).cast("array<int>")
     fits = F.filter(fetched, lambda k: F.regexp(F.col("canonical"), F.get(patterns, k)))
-    return F.array_max(F.transform(fits, lambda k: F.struct(F.get(ranks, k).alias("rank"), (-k).alias("k"))))["k"] * -1
+    return F.array_max(F.transform(fits, lambda k: F.struct(F.get(ranks, k).alias("rank"), (-k).alias("k"))))
 
 
 def _best_joined(urls: DataFrame, filed: dict[str, list[int]], rules: tuple[Rule, ...]) -> DataFrame:
     """The same over an index table, for rule lists of any length."""
     spark = urls.sparkSession
-    table = spark.createDataFrame([(t, k, rules[k].pattern, rules[k].rank) for t, ks in filed.items() for k in ks], "t string, k int, pattern string, rank int")
+    table = spark.createDataFrame([(t, k, rules[k].pattern, rules[k].rank) for t, ks in filed.items() if t for k in ks], "t string, k int, pattern string, rank int")
     distinct = urls.select("canonical", "tokens").distinct()
     hit = distinct.select("canonical", F.explode("tokens").alias("t")).join(table, "t").where(F.regexp("canonical", F.col("pattern")))
-    best = hit.groupBy("canonical").agg((F.max(F.struct("rank", (-F.col("k")).alias("k")))["k"] * -1).alias("best"))
-    return urls.join(best, "canonical", "left")
+    best = hit.groupBy("canonical").agg(F.max(F.struct("rank", (-F.col("k")).alias("k"))).alias("fetched"))
+    always = _best_inline({"": filed.get("", [])}, rules)
+    return urls.join(best, "canonical", "left").withColumn("best", F.array_max(F.array("fetched", always)))
 
 
 def url_filter(pages: DataFrame, base: tuple[Rule, ...] = BASE_RULES, patterns: tuple[Rule, ...] = PATTERN_RULES, max_inline: int = MAX_INLINE) -> DataFrame:
@@ -148,6 +219,7 @@ def url_filter(pages: DataFrame, base: tuple[Rule, ...] = BASE_RULES, patterns:
         judged = urls.withColumn("best", _best_inline(filed, rules))
     else:
         judged = _best_joined(urls, filed, rules)
+    judged = judged.withColumn("best", -F.col("best.k"))
     if len(rules) == 0:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern_rule"))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("best"))

@@ -278,6 +278,15 @@ def test_hmm_scores(spark, texts):
     assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)  # scores are negative: nearer 0 is better
 
 
+def test_dedup_of_long_texts_with_one_prefix(spark):
+    """What a task holds is bounded by the texts' bytes, not by the trie's labels."""
+    text = "p " * 10_000
+    rows = [(i, f"{text}{i // 2}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, local_bytes=1 << 20).collect()}
+    assert got == {(i, i - i % 2, 2) for i in range(400)}
+
+
 def test_hmm_on_awkward_rows(awkward, spark):
     rows = hmm.hmm_scores(awkward, rounds=1).collect()
     assert len(rows) == len(ROWS) and all(math.isfinite(r.score) and r.score < 0 for r in rows)
@@ -325,6 +334,18 @@ def test_url_filters(spark, inline):
     assert {r.verdict for r in url_filters.url_filter(pages, (), ()).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("inline", [0, 100])
+def test_url_rules_from_a_table(spark, inline):
+    """Rules without a token are tried on every URL; a long URL and a hot one are judged whole."""
+    rows = [("any-mp3", "mp3$", True, None), ("track", r"/track/\w+", True, False), ("dots", r"\.\.\.", True, False), ("site", "^a[.]com/", False, True)]
+    rules = url_filters.read_rules(spark.createDataFrame(rows, "name string, pattern string, block boolean, base boolean"))
+    assert [r.tokens for r in rules] == [(), (), ("a", "com"), ("track",)]
+    long = "http://b.com/" + "x/" * 50_000 + "track/1"
+    pages = spark.createDataFrame([(1, "http://b.com/s.mp3"), (2, "http://b.com/a...b"), (3, long), (4, "http://a.com/s.mp3")] + [(5, "http://b.com/")] * 300, "page_id long, url string")
+    got = collections.Counter((r.page_id, r.rule, r.verdict, r.pattern_rule) for r in url_filters.url_filter(pages, rules[2:3], rules[:2] + rules[3:], max_inline=inline).collect())
+    assert got == {(1, None, "block", "any-mp3"): 1, (2, None, "block", "dots"): 1, (3, None, "block", "track"): 1, (4, "site", "allow", None): 1, (5, None, "allow", None): 300}
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against a plain version on the documents it is given."""
     import public_tokenizers

@@ -451,3 +451,31 @@ def test_extensions_keep_the_identity(a, b):
     exact = next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
     assert x + y >= 2 * exact and 2 * same >= 0.8 * (x + y) - 1e-9
     assert same <= substring_dedup.common_words(a[:x], b[:y], 99)
+
+
+@pytest.mark.parametrize(
+    "pattern, tokens",
+    [
+        (r"^([^/?#]*[.-])?cheap[.-]pills([.-][^/?#]*)?(/.*)?$", ("cheap", "pills")),
+        (r"^[^/?#]*/([^?#]*/)?cart(/.*)?$", ("cart",)),
+        (r"ads\d+\.example\.com/", ("example", "com")),
+        (r"/track/v", ("track",)),
+        (r"^x(yz)?/", ()),
+        (r"^(foo|bar)\.com/", ("com",)),
+        (r"(?:/a)+b", ()),
+        (r".*", ()),
+        (r"[", ()),
+    ],
+)
+def test_tokens_come_from_the_expression(pattern, tokens):
+    assert url_filters.literal_tokens(pattern) == tokens
+
+
+@given(st.lists(st.sampled_from(["a", "b", "/", ".", "-", "(a)?", "(/b)*", "[./]", "[ab]", "(-|a)", "^", "$"]), max_size=7), st.text(alphabet="ab/.-", max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_tokens_stand_in_all_that_the_expression_fits(parts, url):
+    import re
+
+    pattern = "".join(parts)
+    if re.search(pattern, url):
+        assert set(url_filters.literal_tokens(pattern)) <= set(re.split("[^a-z0-9]+", url))
