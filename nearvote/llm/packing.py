@@ -48,7 +48,7 @@ from nearvote.llm.common import materialize
 
 CAPACITY = 2048
 END = 0
-NODES = 3_000
+NODES, STEPS = 2_000, 200
 BUCKET = 50_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -145,33 +145,33 @@ def _filled(filling: Filling) -> int:
     return sum(x * k for x, k in filling)
 
 
-def dominated(filling: Filling, waste: int, counts: np.ndarray) -> bool:
-    """Whether a piece left out could be added, or could take the place of some
-    of ``filling``: of less length by at most ``waste``, or of equal length in
-    several pieces. Bit n of an integer stands for the length n."""
-    used = dict(filling)
-    free = sum(1 << x for x in np.flatnonzero(counts).tolist() if counts[x] > used.get(x, 0))
-    if free & ((2 << waste) - 1):
-        return True
-    one = several = 0  # sums of at least one piece, and of at least two
-    for x, k in filling:
-        for _ in range(k):
-            several |= several << x | one << x
-            one |= one << x | 1 << x
+def _swaps(one: int, several: int, waste: int) -> int:
+    """Lengths that could take the place of some pieces of a filling: more than a
+    sum of pieces by at most ``waste``, or equal to a sum of several. Bit n of an
+    integer stands for the length n."""
     reach, width = one << 1 if waste else 0, 1
     while width < waste:  # one << d for every d from 1 to waste
         step = min(width, waste - width)
         reach |= reach << step
         width += step
-    return bool(free & (reach | several))
+    return reach | several
+
 
+def fillings(rest: int, counts: np.ndarray, work: list[int] | None = None) -> Iterator[Filling]:
+    """All undominated fillings of ``rest``, the least waste first, one at a time.
 
-def fillings(rest: int, counts: np.ndarray) -> Iterator[Filling]:
-    """All undominated fillings of ``rest``, the least waste first, one at a time."""
+    A filling is dominated where a piece left out could be added, or could take
+    the place of some of its pieces without wasting more. Pieces are added
+    from the largest on; what a piece could be swapped for is larger, so its
+    count is settled, and a dominated beginning is given up at once. ``work``
+    holds the steps that may still be made; none are made beyond.
+    """
+    work = [1 << 62] if work is None else work
     lengths = np.flatnonzero(counts[: rest + 1])[::-1].tolist()
+    many = counts[lengths].tolist()
     sums, full = [1], (2 << rest) - 1
-    for x in reversed(lengths):  # sums[i]: sums that lengths[i:] can make
-        made, more, step = sums[-1], min(int(counts[x]), rest // x), 1
+    for x, n in zip(reversed(lengths), reversed(many), strict=True):  # sums[i]: sums that lengths[i:] can make
+        made, more, step = sums[-1], min(n, rest // x), 1
         while more:
             step = min(step, more)
             made |= made << step * x & full
@@ -180,21 +180,31 @@ def fillings(rest: int, counts: np.ndarray) -> Iterator[Filling]:
         sums.append(made)
     sums.reverse()
 
-    def exact(i: int, r: int) -> Iterator[Filling]:
+    def exact(i: int, r: int, one: int, several: int, free: int, waste: int) -> Iterator[Filling]:
         if not r:
-            yield ()
+            if not free & (2 << waste) - 1:
+                yield ()
             return
-        while sums[i] >> r & 1 and i < len(lengths):
+        while i < len(lengths) and sums[i] >> r & 1 and work[0] > 0:
+            work[0] -= 1
             x = lengths[i]
-            for k in range(min(int(counts[x]), r // x), 0, -1):
-                if sums[i + 1] >> r - k * x & 1:
-                    for tail in exact(i + 1, r - k * x):
-                        yield ((x, k), *tail)
+            if x <= r:
+                with_one, with_several = one, several
+                for k in range(1, min(many[i], r // x) + 1):
+                    with_several |= with_several << x | with_one << x
+                    with_one |= with_one << x | 1 << x
+                    left = free if k < many[i] else free & ~(1 << x)
+                    if left & _swaps(with_one, with_several, waste):
+                        break
+                    if sums[i + 1] >> r - k * x & 1:
+                        for tail in exact(i + 1, r - k * x, with_one, with_several, left, waste):
+                            yield ((x, k), *tail)
             i += 1
 
+    free = sum(1 << x for x in lengths)
     for waste in range(rest + 1):
-        if sums[0] >> rest - waste & 1:
-            yield from (f for f in exact(0, rest - waste) if not dominated(f, waste, counts))
+        if sums[0] >> rest - waste & 1 and work[0] > 0:
+            yield from exact(0, rest - waste, 0, 0, free, waste)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -241,7 +251,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
     lower bound of the rest reach the incumbent, which starts from best fit and
     is renewed by it at every 16th node. The search is complete unless it
     has used ``nodes`` nodes (or twice the number of lengths, if that is more, so
-    that it comes down to a whole packing).
+    that it comes down to a whole packing), or ``STEPS`` steps for each of
+    these in making fillings.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for x, n in histogram.items():
@@ -250,6 +261,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
     best, best_n = _best_fit(counts.copy(), capacity)
     path: list[_Node] = []
     used, spent, budget = 0, 0, max(nodes, 2 * len(histogram))
+    work = [STEPS * budget]
 
     def change(node: _Node, sign: int) -> None:
         nonlocal used
@@ -267,7 +279,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
                 change(node, 1)
                 return True
         counts[node.largest] -= 1
-        for filling in islice(fillings(capacity - node.largest, counts), node.seen, None):
+        for filling in islice(fillings(capacity - node.largest, counts, work), node.seen, None):
             node.seen += 1
             if filling not in node.barred:
                 break
@@ -288,7 +300,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
 
     if best_n > bound:
         down()
-    while path and best_n > bound and spent < budget:
+    while path and best_n > bound and spent < budget and work[0] > 0:
         if not following(path[-1]):
             path.pop()
             continue
