@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import discard, materialize
+from nearvote.llm.common import discard, gives_back, materialize
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 CHUNK = SMALL = 250_000
 
 
+@gives_back
 def _forest(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Per task: edges to the smallest id of their component, by union-find."""
     parent: dict[int, int] = {}

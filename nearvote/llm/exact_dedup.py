@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import SPACE, materialize, text_or_empty
+from nearvote.llm.common import SPACE, gives_back, materialize, text_or_empty
 
 LOCAL_BYTES = 48 << 20
 NO_ID = (1 << 63) - 1
@@ -96,6 +96,7 @@ LOCAL = pa.schema(
 LOCAL_DDL = "doc_id long, uid long, text_sha256 string, len long, h long, bytes binary, low long, n long"
 
 
+@gives_back
 def _combine(batches: Iterator[pa.RecordBatch], local_bytes: int) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 33
     trie, waiting = Patricia(), []
@@ -143,6 +144,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 OWNERS = pa.schema([("uid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
+@gives_back
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, trie, found = None, Patricia(), []
     out: list[tuple] = []

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import materialize, most_frequent
+from nearvote.llm.common import gives_back, materialize, most_frequent
 
 TOP, TAILS, STATES, ROUNDS = 4_096, 1_024, 6, 3
 #: Start of training: how likely a state is kept, and how far states differ.
@@ -76,6 +76,7 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+@gives_back
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
     ends = 0
@@ -122,6 +123,7 @@ class _Places(dict):
         return found
 
 
+@gives_back
 def _encode(batches: Iterator[pa.RecordBatch], held: dict[int, int], symbol: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -230,6 +232,7 @@ def _decode(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
 
 
+@gives_back
 def _gather(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row per cell: start s; move (s, s'); emission (s, symbol); likelihood."""
     start, move, emit = model
@@ -265,6 +268,7 @@ def train(sequences: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, states
     return model, history
 
 
+@gives_back
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarray, np.ndarray], inside: np.ndarray) -> Iterator[pa.RecordBatch]:
     """HMM likelihood less ``inside``, the part of P(token | symbol) that
     depends on the symbol alone."""

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import BROADCAST_IDS, discard, materialize, most_frequent
+from nearvote.llm.common import BROADCAST_IDS, discard, gives_back, materialize, most_frequent
 from nearvote.llm.components import components
 from nearvote.llm.words import mix, shingles
 
@@ -129,6 +129,7 @@ def front(tokens: np.ndarray, percent: int) -> np.ndarray:
     return tokens[: 5 * (n - _least(n, percent) + 1) // 4 + 1]
 
 
+@gives_back
 def _fronts(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -167,6 +168,7 @@ def keys(tokens: np.ndarray, light: int, percent: int) -> tuple[np.ndarray, np.n
 LOCAL_DDL = "doc_id long, n long, cls long, keys array<long>, at array<long>, sketch binary, coarse array<long>"
 
 
+@gives_back
 def _local(batches: Iterator[pa.RecordBatch], known: np.ndarray, ranks: np.ndarray, light: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -199,6 +201,7 @@ def _local(batches: Iterator[pa.RecordBatch], known: np.ndarray, ranks: np.ndarr
 SHARED_DDL = "key long, cls long, n long, at long, prev long, centre long"
 
 
+@gives_back
 def _scan(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members of lists with several classes, with predecessor and centre.
 
@@ -268,6 +271,7 @@ PRIOR = 8
 BRIDGES, PICKS, LONG = 2, 8, 16
 
 
+@gives_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the whole set for each comparison group that a class is in."""
     for batch in batches:
@@ -294,6 +298,7 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "salt", "member", "cls", "tokens"])
 
 
+@gives_back
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members against the head of their group; sorted by (a, salt, member)."""
     at, head = None, None
@@ -334,6 +339,7 @@ def _room(percent: int, n1: str, n2: str, coarse1: str, coarse2: str) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((total - apart) * (100 + percent) >= 2 * percent * total)
 
 
+@gives_back
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches leave room for a link (never a false no)."""
     for batch in batches:

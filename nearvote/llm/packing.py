@@ -36,6 +36,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import materialize
+from nearvote.llm.common import gives_back, materialize
 
 CAPACITY = 2048
 END = 0
@@ -56,6 +57,7 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 _BLANK = re.compile(r"\s{10000}")
 
 
+@lru_cache(maxsize=2)
 def token_bytes(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian unsigned 32-bit bytes.
 
@@ -63,6 +65,7 @@ def token_bytes(path: str, ranks: str | None = None) -> Callable[[str], bytes]:
     ``ranks`` may name a file of the same vocabulary for ``tiktoken``, which
     gives the same ids (compared for every code point) in a third of the time.
     Texts that contain an added token of the file are left to ``tokenizers``.
+    A worker builds the function once for all its tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -88,6 +91,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@gives_back
 def _cut(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
     encode, end = token_bytes(path, ranks), array("I", [END]).tobytes()
     for batch in batches:
@@ -360,6 +364,7 @@ def slots(bins: list[Bin]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "start", "many", "base", "off"), table.T, strict=True))
 
 
+@gives_back
 def _place(batches: Iterator[pa.RecordBatch], runs: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     first = {int(x): i for i, x in reversed(list(enumerate(runs["length"])))}
     last: dict[int, int] = {int(x): i + 1 for i, x in enumerate(runs["length"])}

@@ -54,7 +54,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.llm.common import BROADCAST_IDS, materialize
+from nearvote.llm.common import BROADCAST_IDS, gives_back, materialize
 from nearvote.llm.words import mix, windows, word_hashes
 
 K, WINDOW = 5, 5
@@ -103,6 +103,7 @@ def _resolved(h: np.ndarray, doc: np.ndarray, at: np.ndarray, part: np.ndarray)
     return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (key, doc, at, part)), place(doc), place(at), place(part)], schema=SEEDS)
 
 
+@gives_back
 def _seeds(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -120,6 +121,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa
         yield _resolved(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
 
+@gives_back
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences against the first of their seed; input sorted by (h, doc,
     part, at), where a part tells the texts under one doc_id apart. Rows that
@@ -267,6 +269,7 @@ def covers(spans: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarr
     return (i >= 0) & (spans[1][i] >= high if whole else spans[1][i] > low)
 
 
+@gives_back
 def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Chains of each text; input sorted by (doc, part, owner, owner_part).
     A chain stays if it is long enough alone, or if it is in a run of
@@ -336,6 +339,7 @@ def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHAINS, strict=True)], schema=CHAINS)
 
 
+@gives_back
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, part, block, words = [], [], [], []
@@ -484,6 +488,7 @@ def sides_of(blocks: tuple[dict[int, bytes], dict[int, bytes]], xs: list[int], y
 ALIGNED_DDL = "doc long, part long, x0 long, x1 long, owner long, y0 long, y1 long, same long, chain long"
 
 
+@gives_back
 def _align(batches: Iterator[pa.RecordBatch], identity: float) -> Iterator[pa.RecordBatch]:
     """Input sorted by (chain, side, block): each chain's words on both sides."""
     now: tuple | None = None
@@ -557,6 +562,7 @@ def passages(doc: int, aligned: list[tuple[int, int, int, int, int, int, int]],
     return out
 
 
+@gives_back
 def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     doc, held = None, []
     rows: list[tuple] = []
