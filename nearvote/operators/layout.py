@@ -21,21 +21,22 @@ def partition_key() -> Column:
 def lay_out(vectors: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Adds pkey, pos (place in the whole layout) and block (within pkey).
 
-    Rows are numbered within (pkey, q8), the head of the sort order, and moved
-    by the counts of the groups before, so no partition sorts the whole table
-    and one frequent key is still dealt out by its q8.
+    Rows are numbered within (pkey, q8, q1), the head of the sort order, and
+    moved by the counts of the groups before, so no partition sorts the whole
+    table and one frequent key is still dealt out by its q8 and q1.
     """
-    first, *rest = (Q[d] for d in SORT_DIMS)
+    first, second, *rest = (Q[d] for d in SORT_DIMS)
     keyed = vectors.withColumn("pkey", partition_key())
-    counts = keyed.groupBy("pkey", F.col(first).alias("lead")).agg(F.count("*").alias("n"))
-    all_before = W.orderBy("pkey", "lead").rowsBetween(W.unboundedPreceding, -1)
-    own_before = W.partitionBy("pkey").orderBy("lead").rowsBetween(W.unboundedPreceding, -1)
+    counts = keyed.groupBy("pkey", F.col(first).alias("lead"), F.col(second).alias("next")).agg(F.count("*").alias("n"))
+    all_before = W.orderBy("pkey", "lead", "next").rowsBetween(W.unboundedPreceding, -1)
+    own_before = W.partitionBy("pkey").orderBy("lead", "next").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    starts = counts.select(F.col("pkey").alias("k"), "lead", F.coalesce(F.sum("n").over(all_before), zero).alias("start"), F.coalesce(F.sum("n").over(own_before), zero).alias("within"))
-    row = F.row_number().over(W.partitionBy("pkey", first).orderBy(*rest, row_id)) - 1
-    placed = keyed.withColumn("row", row).join(starts, (F.col("pkey") == F.col("k")) & (F.col(first) == F.col("lead")))
+    starts = counts.select(F.col("pkey").alias("k"), "lead", "next", F.coalesce(F.sum("n").over(all_before), zero).alias("start"), F.coalesce(F.sum("n").over(own_before), zero).alias("within"))
+    row = F.row_number().over(W.partitionBy("pkey", first, second).orderBy(*rest, row_id)) - 1
+    same_group = (F.col("pkey") == F.col("k")) & (F.col(first) == F.col("lead")) & (F.col(second) == F.col("next"))
+    placed = keyed.withColumn("row", row).join(starts, same_group)
     block = F.floor((F.col("within") + F.col("row")) / BLOCK_ROWS).cast("long")
-    return placed.withColumn("pos", F.col("start") + F.col("row")).withColumn("block", block).drop("k", "lead", "start", "within", "row")
+    return placed.withColumn("pos", F.col("start") + F.col("row")).withColumn("block", block).drop("k", "lead", "next", "start", "within", "row")
 
 
 def partition_offsets(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from nearvote.config import BLOCK_ROWS, DIMS, EVALUATION_FIRST, EVALUATION_QUERI
 from nearvote.sources.fixtures import MCCS, QUERY_EVERY
 
 NLIST, GROUP = 32, 8
+#: Paths that requests ask for, by turns.
+PATHS = ("/fraud-score", "/ready", "/fraud-score?x=1", "/other")
 ALL = range(DIMS)
 
 
@@ -155,6 +157,11 @@ p AS (SELECT q.vec_id AS qid, r.vec_id AS pos, list_sum(list_transform(list_zip(
     "ivf_probe_top3": f"WITH {IVF} SELECT qid, probe_rank, cell, d FROM ({probes('qs')})",
     "ivf_votes": IVF_VOTES,
     "stream_score": IVF_VOTES,
+    "stream_bad_requests": f"WITH {IVF} SELECT qid, CASE WHEN qid % {7 * QUERY_EVERY} = 0 THEN 400 ELSE 200 END AS status, CASE WHEN qid % {7 * QUERY_EVERY} <> 0 THEN votes END AS votes FROM ({voted(ivf_hits('qs'))})",
+    "route_requests": f"""SELECT event_id, CASE WHEN user_id % 2 = 0 AND path[1:12] = '/fraud-score' THEN 'score' WHEN user_id % 2 <> 0 AND path[1:6] = '/ready' THEN 'ready' ELSE 'unknown' END AS asked
+FROM (SELECT *, [{', '.join(f"'{p}'" for p in PATHS)}][event_id % {len(PATHS)} + 1] AS path FROM events)""",
+    "reference_scan": f"WITH {VEC} SELECT label, {each('q{d}')} FROM vec WHERE pos % {QUERY_EVERY} <> 0",
+    "index_round_trip": f"WITH {IVF} SELECT rs.pos, rs.pkey, rs.block, rs.label, c.cell, {each('rs.q{d}')} FROM rs JOIN {CELLS} c USING (pos)",
     "accuracy_report": f"""WITH {IVF}, es AS (
   SELECT r.pos AS qid, {each('q{d} AS a{d}')} FROM rs r, size
   WHERE r.pos >= {EVALUATION_FIRST} AND (r.pos - {EVALUATION_FIRST}) % greatest(1, n // {EVALUATION_QUERIES}) = 0

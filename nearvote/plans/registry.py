@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearvote.config import SCALE
 from nearvote.functions import features as fx
 from nearvote.functions.features import Q
 from nearvote.operators import evaluate, ivf, knn, layout
@@ -218,10 +219,50 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = fixtures.requests(spark, sf_dir).where(fixtures.is_query()).select(F.col("pos").alias("qid"), body.alias("body"))
     bodies.write.json(f"{at}/in")
     stream = spark.readStream.schema("qid long, body string").json(f"{at}/in")
-    scorer.start(stream, centroids, cells.cache(), f"{at}/out", f"{at}/state", available_now=True).awaitTermination()
+    scorer.start(stream, centroids, cells, f"{at}/out", f"{at}/state", available_now=True).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("qid", "votes")
 
 
+def stream_bad_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream with every seventh body cut short: status 400, and the others go on."""
+    _, centroids, cells = _cells(spark, sf_dir)
+    at = scratch(spark)
+    body = F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction"))
+    broken = F.when(F.col("pos") % (7 * fixtures.QUERY_EVERY) == 0, F.expr("substr(body, 1, 40)")).otherwise(F.col("body"))
+    bodies = fixtures.requests(spark, sf_dir).where(fixtures.is_query()).withColumn("body", body).select(F.col("pos").alias("qid"), broken.alias("body"))
+    bodies.write.json(f"{at}/in")
+    stream = spark.readStream.schema("qid long, body string").json(f"{at}/in")
+    scorer.start(stream, centroids, cells, f"{at}/out", f"{at}/state", available_now=True, spread=4).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("qid", "status", "votes")
+
+
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests made from events by turns ask for."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = F.get(F.array(*map(F.lit, oracles.PATHS)), (F.col("event_id") % len(oracles.PATHS)).cast("int"))
+    method = F.when(F.col("user_id") % 2 == 0, "POST").otherwise("GET")
+    return e.select("event_id", scorer.route(method, path).alias("asked"))
+
+
+def reference_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References written as JSON lines and read, checked and quantised again."""
+    at = scratch(spark)
+    vector = F.array(*((F.col(q) / SCALE).cast("float") for q in Q)).alias("vector")
+    references_of(vectors(spark, sf_dir)).select(vector, records.label_name(F.col("label")).alias("label")).write.json(at, compression="gzip")
+    return records.read_references(spark, at, json_lines=True).select("label", *Q)
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an index that was built, written, validated and loaded."""
+    at = scratch(spark)
+    _, rows = held(spark, sf_dir)
+    used, new = ivf.kmeans(rows, NLIST)
+    records.save_index(rows, layout.block_bounds(rows), ivf.table(spark, new), ivf.assign(rows, used), at)
+    tables = records.load_index(spark, at)
+    cells = tables["cells"].select("pos", "cell")
+    return tables["vectors"].join(cells, "pos").select("pos", F.col("pkey").cast("int").alias("pkey"), "block", F.col("label").cast("int").alias("label"), "cell", *(F.col(q).cast("int").alias(q) for q in Q))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -229,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f16_bits, partition_key, partition_offsets, block_bounds, block_lower_bounds, dataset_meta, index_ready, knn_exact_top5, knn_embeddings_top5,
         fraud_decision, knn_partition_top5, knn_block_pruned_top5, ivf_seed_centroids, ivf_assign, ivf_kmeans_iter, ivf_cell_offsets, ivf_cell_stats,
         ivf_coarse_centroids, ivf_probe_top3, ivf_votes, accuracy_report, stream_score,
+        stream_bad_requests, route_requests, reference_scan, index_round_trip,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES
