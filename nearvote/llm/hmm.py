@@ -312,7 +312,8 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> D
     counts = beyond(vocab, first).select("token", "n")
     rare = numbered.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     c = F.coalesce("n", F.lit(0))
-    rest = rare.groupBy("row").agg(F.sum(F.log10(c + ALPHA)).alias("rare_sum"), F.sum((c > 0).cast("long")).alias("rare_known"))
+    # Sums of whole numbers do not depend on the order of the rows.
+    rest = rare.groupBy("row").agg((F.sum(F.round(F.log10(c + ALPHA) * 1e10).cast("long")) / 1e10).alias("rare_sum"), F.sum((c > 0).cast("long")).alias("rare_known"))
     unit = float(np.log10(total + ALPHA * (distinct + 1)))
     sums = F.col("held_sum") + F.coalesce("rare_sum", F.lit(0.0))
     joined = numbered.select("row", "doc_id", "held_out", "held_sum", "held_known").join(scored, "row").join(rest, "row", "left")
