@@ -70,7 +70,7 @@ qs AS (SELECT pos AS qid, pkey, {each('q{d} AS a{d}')} FROM keyed WHERE pos % {Q
 rs AS (
   SELECT pkey, label, {each('q{d}')}, row_number() OVER (ORDER BY pkey, q8, q1, q3, q4, pos) - 1 AS pos,
          (row_number() OVER (PARTITION BY pkey ORDER BY q8, q1, q3, q4, pos) - 1) // {BLOCK_ROWS} AS block
-  FROM keyed WHERE pos % {QUERY_EVERY} <> 0
+  FROM keyed
 )"""
 )
 
@@ -87,7 +87,7 @@ def voted(hits: str, queries: str = "qs") -> str:
     return f"SELECT qid, coalesce(sum(label), 0)::BIGINT AS votes, count(label)::BIGINT AS hits FROM {queries} LEFT JOIN ({hits}) USING (qid) GROUP BY qid"
 
 
-EXACT_HITS = top(f"SELECT qid, r.pos, label, {dist('a', 'q')} AS d FROM qs, vec r WHERE r.pos % {QUERY_EVERY} <> 0", "d, pos")
+EXACT_HITS = top(f"SELECT qid, r.pos, label, {dist('a', 'q')} AS d FROM qs, vec r", "d, pos")
 PART_HITS = top(f"SELECT qid, r.pos, label, {dist('a', 'q')} AS d FROM qs JOIN rs r USING (pkey)", "d, pos", keep="qid, label")
 PART_VOTES = f"WITH {SPLIT} {voted(PART_HITS)}"
 
@@ -143,7 +143,7 @@ SELECT qid, pkey, block, ({each('greatest(lo{d} - a{d}, a{d} - hi{d}, 0)::BIGINT
     "knn_exact_top5": f"WITH {SPLIT} SELECT qid, rk, pos, d FROM ({EXACT_HITS})",
     "knn_embeddings_top5": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 10000::FLOAT)::BIGINT) AS e FROM embeddings),
 p AS (SELECT q.vec_id AS qid, r.vec_id AS pos, list_sum(list_transform(list_zip(q.e, r.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
-      FROM v q, v r WHERE q.vec_id % {QUERY_EVERY} = 0 AND r.vec_id % {QUERY_EVERY} <> 0)
+      FROM v q, v r WHERE q.vec_id % {QUERY_EVERY} = 0)
 {top('SELECT * FROM p', 'd, pos', keep='qid, rk, pos, d')}""",
     "fraud_decision": f"WITH {SPLIT} SELECT qid, votes, votes / 5.0::DOUBLE AS fraud_score, votes < 3 AS approved FROM ({voted(EXACT_HITS)})",
     "knn_partition_top5": PART_VOTES,
@@ -160,7 +160,7 @@ p AS (SELECT q.vec_id AS qid, r.vec_id AS pos, list_sum(list_transform(list_zip(
     "stream_bad_requests": f"WITH {IVF} SELECT qid, CASE WHEN qid % {7 * QUERY_EVERY} = 0 THEN 400 ELSE 200 END AS status, CASE WHEN qid % {7 * QUERY_EVERY} <> 0 THEN votes END AS votes FROM ({voted(ivf_hits('qs'))})",
     "route_requests": f"""SELECT event_id, CASE WHEN user_id % 2 = 0 AND path[1:12] = '/fraud-score' THEN 'score' WHEN user_id % 2 <> 0 AND path[1:6] = '/ready' THEN 'ready' ELSE 'unknown' END AS asked
 FROM (SELECT *, [{', '.join(f"'{p}'" for p in PATHS)}][event_id % {len(PATHS)} + 1] AS path FROM events)""",
-    "reference_scan": f"WITH {VEC} SELECT label, {each('q{d}')} FROM vec WHERE pos % {QUERY_EVERY} <> 0",
+    "reference_scan": f"WITH {VEC} SELECT label, {each('q{d}')} FROM vec",
     "index_round_trip": f"WITH {IVF} SELECT rs.pos, rs.pkey, rs.block, rs.label, c.cell, {each('rs.q{d}')} FROM rs JOIN {CELLS} c USING (pos)",
     "accuracy_report": f"""WITH {IVF}, es AS (
   SELECT r.pos AS qid, {each('q{d} AS a{d}')} FROM rs r, size

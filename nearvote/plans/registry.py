@@ -1,7 +1,8 @@
 """Named queries of the library and their DuckDB equivalents.
 
-All run on requests derived from ``events``: every 50th is a query, the others
-are the labelled references. ``NLIST`` is small, as the tables are.
+All run on requests derived from ``events``. Every row is a labelled reference;
+those whose id is divisible by 100 are the queries of the searches, against all
+rows. ``NLIST`` is small, as the tables are.
 """
 
 from __future__ import annotations
@@ -32,12 +33,8 @@ def queries_of(table: DataFrame) -> DataFrame:
     return table.where(fixtures.is_query()).select(F.col("pos").alias("qid"), *Q)
 
 
-def references_of(table: DataFrame) -> DataFrame:
-    return table.where(~fixtures.is_query())
-
-
 def index_layout(table: DataFrame) -> DataFrame:
-    return layout.lay_out(references_of(table).withColumnRenamed("pos", "row_id"))
+    return layout.lay_out(table.withColumnRenamed("pos", "row_id"))
 
 
 def held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +96,7 @@ def partition_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_offsets(references_of(vectors(spark, sf_dir)))
+    return layout.partition_offsets(vectors(spark, sf_dir))
 
 
 def block_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +109,17 @@ def block_lower_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.metadata(references_of(vectors(spark, sf_dir))).select("total", "fraud", "legit")
+    return records.metadata(vectors(spark, sf_dir)).select("total", "fraud", "legit")
 
 
 def index_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.ready(references_of(vectors(spark, sf_dir)))
+    return evaluate.ready(vectors(spark, sf_dir))
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     table = vectors(spark, sf_dir)
     queries = queries_of(table)
-    return queries, knn.exact_knn(queries, references_of(table))
+    return queries, knn.exact_knn(queries, table)
 
 
 def knn_exact_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +131,7 @@ def knn_embeddings_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"e{d}" for d in range(64)]
     flat = e.select(F.col("vec_id").alias("pos"), F.col("label").cast("int").alias("label"), *(F.col("v")[d].alias(n) for d, n in enumerate(names)))
     queries = flat.where(fixtures.is_query()).select(F.col("pos").alias("qid"), *names)
-    return knn.exact_knn(queries, flat.where(~fixtures.is_query()), columns=names).select("qid", "rk", "pos", "d")
+    return knn.exact_knn(queries, flat, columns=names).select("qid", "rk", "pos", "d")
 
 
 def fraud_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +245,7 @@ def reference_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References written as JSON lines and read, checked and quantised again."""
     at = scratch(spark)
     vector = F.array(*((F.col(q) / SCALE).cast("float") for q in Q)).alias("vector")
-    references_of(vectors(spark, sf_dir)).select(vector, records.label_name(F.col("label")).alias("label")).write.json(at, compression="gzip")
+    vectors(spark, sf_dir).select(vector, records.label_name(F.col("label")).alias("label")).write.json(at, compression="gzip")
     return records.read_references(spark, at, json_lines=True).select("label", *Q)
 
 
