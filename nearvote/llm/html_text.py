@@ -6,6 +6,12 @@ closes an open paragraph, an item the item before, a cell the cell before) and
 start tags (rows of cells), keeps end tags from reaching out of a table cell,
 and drops subtrees that are not visible. Elements that are not visible are
 open elements like others: implied end tags and those of parents close them.
+Not visible are elements without a rendering (``HIDDEN``), those with
+``hidden`` or ``aria-hidden``, and those whose style says so: their own, or the
+rules of the page's style sheets for types, classes, ids and compounds of them,
+weighed by importance, specificity and order. Selectors beyond these (with
+combinators, attributes, pseudo-classes) match nothing; of conditional groups
+only ``@media`` for all or screen counts.
 
 The renderer lays the events out: inline white space collapses, blocks begin
 and end lines, paragraphs and the like are set off by a blank line, items get
@@ -67,12 +73,19 @@ _LOOSE = re.compile(r"<([A-Za-z][^\s/>]*+)([^>]*+)>")
 _END = re.compile(r"</([A-Za-z][^\s/>]*+)[^>]*+>")
 _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<>]++))?+""")
 _OUT_OF_SIGHT = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CSS_COMMENT = re.compile(r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z)")
+_CSS_MARK = re.compile(r"[{};]")
+_SCREEN = re.compile(r"@media\s*+(?:only\s++)?(?:all|screen)\s*+\Z", re.I)
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*+|\*)?((?:[.#][A-Za-z_-][\w-]*+)*+)")
+_NAMED = re.compile(r"[.#][\w-]++")
+_DECLARED = re.compile(r"\s*+(display|visibility)\s*+:\s*+([A-Za-z-]++)\s*+(!\s*+important)?\s*+", re.I)
 _BLANK = re.compile(r"[\x20\t\n\f\r]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>|</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", "", text), ("start", name, attributes) and ("end", name, "")."""
+    """("text", "", text), ("start", name, attributes), ("end", name, "") and
+    ("css", "", style sheet)."""
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -101,12 +114,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             name = m[1].lower()
             yield "start", name, m[2]
             at = m.end()
+            if name in ("pre", "textarea"):  # the line break right after the tag is not text
+                at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
             if name in RAW:
                 close = _RAW_END[name].search(page, at)
                 to = close.start() if close else n
+                body = page[at:to]
                 if name in ("textarea", "title", "xmp"):
-                    body = page[at:to]
                     yield "text", "", body if name == "xmp" else entities.unescape(body)
+                elif name == "style":
+                    yield "css", "", body
                 yield "end", name, ""
                 at = close.end() if close else n
         else:
@@ -122,13 +139,87 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _unseen(name: str, raw: str) -> bool:
+class Styles:
+    """What style sheets say of ``display`` and ``visibility``, by element.
+
+    A rule is filed under its id, else its first class, else its type, so an
+    element is held against the rules for its own names only.
+    """
+
+    def __init__(self) -> None:
+        self.rules: dict[str, list[tuple[str, frozenset[str], str, bool, tuple[bool, int, int, int, int]]]] = {}
+        self.read = 0
+
+    def add(self, sheet: str) -> None:
+        sheet = _CSS_COMMENT.sub(" ", sheet)
+        at, within = 0, []  # within: for each open group, whether it counts
+        for m in _CSS_MARK.finditer(sheet):
+            prelude, at = sheet[at : m.start()].strip(), m.end()
+            if m[0] == "{":
+                group = prelude[:1] == "@"
+                counts = all(within) and (not group or bool(_SCREEN.match(prelude)))
+                within.append(counts)
+                if counts and not group:
+                    end = sheet.find("}", at)
+                    self._rule(prelude, sheet[at : end if end >= 0 else len(sheet)])
+            elif m[0] == "}" and within:
+                within.pop()
+
+    def _rule(self, selectors: str, body: str) -> None:
+        said = [m for m in map(_DECLARED.fullmatch, body.split(";")) if m]
+        for selector in selectors.split(",") if said else ():
+            m = _SIMPLE.fullmatch(selector.strip())
+            if not m or not m[0]:
+                continue
+            kind, names = m[1].lower() if m[1] and m[1] != "*" else "", _NAMED.findall(m[2])
+            ids = sum(x[0] == "#" for x in names)
+            key = next((x for x in names if x[0] == "#"), names[0] if names else kind)
+            for d in said:
+                self.read += 1
+                weight = (bool(d[3]), 0, ids, 2 * (len(names) - ids) + bool(kind), self.read)
+                self.rules.setdefault(key, []).append((kind, frozenset(names), d[1].lower(), _gone(d[2]), weight))
+
+    def unseen(self, name: str, given: dict[str, str]) -> bool:
+        """Whether an element is out of sight by the sheets and its own style."""
+        names = frozenset([*("." + c for c in given.get("class", "").split()), *(["#" + given["id"]] if given.get("id") else [])])
+        best: dict[str, tuple[tuple[bool, int, int, int, int], bool]] = {}
+        for key in (*names, name, ""):
+            for kind, needed, what, gone, weight in self.rules.get(key, ()):
+                if kind in ("", name) and needed <= names and (what not in best or best[what][0] < weight):
+                    best[what] = weight, gone
+        for m in filter(None, map(_DECLARED.fullmatch, given.get("style", "").split(";"))):
+            weight, what = (bool(m[3]), 1, 0, 0, 0), m[1].lower()
+            if what not in best or best[what][0] <= weight:
+                best[what] = weight, _gone(m[2])
+        return any(gone for _, gone in best.values())
+
+
+def _gone(value: str) -> bool:
+    return value.lower() in ("none", "hidden", "collapse")
+
+
+def styles(page: str) -> Styles | None:
+    """The page's style sheets, or None if none of them hides anything."""
+    if not _OUT_OF_SIGHT.search(page):
+        return None
+    found, on = Styles(), False
+    for kind, name, raw in tokens(page):
+        if kind == "start":
+            on = name == "style" and bool(_SCREEN.match("@media " + attributes(raw).get("media", "all")))
+        elif kind == "css" and on:
+            found.add(raw)
+    return found if found.rules else None
+
+
+def _unseen(name: str, raw: str, sheets: Styles | None = None) -> bool:
     if name in HIDDEN:
         return True
-    if not raw.strip(" /"):
+    if not raw.strip(" /") and not sheets:
         return name == "dialog"
     a = attributes(raw)
-    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or name == "dialog" and "open" not in a or bool(_OUT_OF_SIGHT.search(a.get("style", "")))
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or name == "dialog" and "open" not in a:
+        return True
+    return sheets.unseen(name, a) if sheets else bool(_OUT_OF_SIGHT.search(a.get("style", "")))
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -136,6 +227,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     open_: list[tuple[str, bool, bool]] = []  # name, whether its start was told, whether it is unseen
     count: dict[str, int] = {}
     hidden = 0  # unseen elements that are open
+    sheets = styles(page)
 
     def drop(i: int) -> tuple[str, bool, bool]:
         nonlocal hidden
@@ -204,7 +296,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 continue
             if name in VOID or name == "head" and any(x != "html" for x, _, _ in open_):
                 continue
-            unseen = _unseen(name, raw)
+            unseen = _unseen(name, raw, sheets)
             if unseen and raw.rstrip().endswith("/") and (name == "svg" or name not in HIDDEN):
                 continue
             if name in TABLE_PARTS:
@@ -247,9 +339,14 @@ class Flow:
         self.line: list[str] = []
         self.space = self.gap = False  # a space, or a blank line, is due
         self.indent: list[int] = []
-        self.bullet = ""
+        self.bullets: list[str] = []  # of the open items, empty once written
         self.pre = 0
 
+    @property
+    def bullet(self) -> str:
+        """The innermost item's, if no line has been written since it began."""
+        return self.bullets[-1] if self.bullets else ""
+
     def text(self, value: str) -> None:
         if self.pre:
             first, *rest = value.replace("\r\n", "\n").split("\n")
@@ -281,7 +378,7 @@ class Flow:
             depth = max(0, len(self.indent) - 1)
             lead = "  " * depth + self.bullet if self.bullet else " " * (2 * depth + (self.indent[-1] if self.indent else 0))
             self.lines.append((lead + "".join(self.line)).rstrip() if self.line or self.bullet else "")
-            self.line, self.bullet = [], ""
+            self.line, self.bullets = [], [""] * len(self.bullets)
         self.space = False
 
     def block(self, spaced: bool) -> None:
@@ -293,8 +390,12 @@ class Flow:
         if lines and self.gap and self.lines and self.lines[-1] != "":
             self.lines.append("")
         self.gap = False
-        depth = " " * (2 * max(0, len(self.indent) - 1) + (self.indent[-1] if self.indent else 0))
-        self.lines += [depth + x if x else x for x in lines]
+        depth = 2 * max(0, len(self.indent) - 1)
+        lead = " " * (depth + (self.indent[-1] if self.indent else 0))
+        if lines and self.bullet:
+            self.lines.append(" " * depth + self.bullet + lines[0])
+            lines, self.bullets = lines[1:], [""] * len(self.bullets)
+        self.lines += [lead + x if x else x for x in lines]
 
     def done(self) -> list[str]:
         self.end_line()
@@ -310,7 +411,7 @@ def _span(raw: str, name: str) -> int:
 
 def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table: rows of cells (lines, columns, rows spanned)."""
-    grid: list[dict[int, list[str]]] = []
+    grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # column -> further rows that a cell above takes
     width: dict[int, int] = {}
     for row in rows:
@@ -318,7 +419,7 @@ def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for lines, columns, down in row:
             while taken.get(at):
                 at += 1
-            placed[at] = lines
+            placed[at] = lines, columns
             if columns == 1:
                 widest = max(map(len, lines), default=0)
                 width[at] = max(width.get(at, 0), widest if widest <= MAX_PAD else 0)
@@ -330,14 +431,14 @@ def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     out = []
     for placed in grid:
         last = max(placed, default=-1)
-        for k in range(max((len(x) for x in placed.values()), default=0)):
+        for k in range(max((len(x) for x, _ in placed.values()), default=0)):
             line, filled = [], 0
             for at in sorted(placed):
-                if at > filled:  # columns that cells above or spans leave empty
-                    line.append(" " * sum(width.get(i, 0) + 2 for i in range(filled, at)) if at - filled <= MAX_SPAN else "  ")
-                piece = placed[at][k] if k < len(placed[at]) else ""
-                line.append(piece if at == last else piece.ljust(width.get(at, 0)) + "  ")
-                filled = at + 1
+                if at > filled:  # columns that cells above leave empty
+                    line.append(" " * sum(width.get(i, 0) + 2 for i in range(filled, at)))
+                lines, columns = placed[at]
+                piece, filled = lines[k] if k < len(lines) else "", at + columns
+                line.append(piece if at == last else piece.ljust(sum(width.get(i, 0) + 2 for i in range(at, filled)) - 2) + "  ")
             out.append("".join(line).rstrip())
     return out
 
@@ -379,7 +480,7 @@ def render(page: str | None) -> str:
                     number = lists[-1] if lists else 0
                     if number:
                         lists[-1] += 1
-                    flow.bullet = f"{number}. " if number else "- "
+                    flow.bullets.append(f"{number}. " if number else "- ")
                     if flow.indent:
                         flow.indent[-1] = len(flow.bullet)
                 elif name in ("pre", "xmp", "textarea"):
@@ -397,7 +498,7 @@ def render(page: str | None) -> str:
                 lists.pop()
                 flow.indent.pop()
             elif name == "li":
-                flow.bullet = ""
+                flow.bullets.pop()
             elif name in ("pre", "xmp", "textarea"):
                 flow.pre -= 1
             flow.block(name in SPACED and not (nested and lists))
