@@ -15,7 +15,8 @@ leaves room for words that training has not seen.
     Only its ``HELD`` most frequent tokens and the sums by symbol are (both of
     fixed size).
  2. Documents become sequences of 16-bit symbols, written once, with the tokens
-    that are not held as 64-bit hashes for a join with the counts.
+    that are not held as 64-bit hashes and how often each occurs in the
+    document, for a join with the counts.
  3. Baum-Welch: every task runs the scaled forward and backward recursions over
     its training sequences and adds up expected counts; the sums of the tasks
     (a fixed number of cells each) are aggregated in the cluster by cell and
@@ -23,7 +24,9 @@ leaves room for words that training has not seen.
  4. Scaled forward recursion gives each whole text's exact log-likelihood.
 
 Recursions are vectorised over the documents of a batch, longest first, so one
-step advances every text that still has tokens.
+step advances every text that still has tokens. Long texts are split into words
+a stretch at a time, and a sequence longer than ``GROUP`` tokens has the alphas
+of as many tokens held at once, so a task holds little beyond the text itself.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as
 the text "" for the split, and is scored; rows with the same doc_id are scored
@@ -34,6 +37,7 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,6 +57,10 @@ HELD = 65_536
 SYMBOLS = TOP + TAILS
 ALPHA = 0.1
 FLUSH = 200_000
+#: Bytes of a text that are split at a time, tokens of a group of sequences, and
+#: tokens of a longer sequence whose alphas are held at once.
+STRETCH, GROUP = 1 << 20, 500_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out_column():
@@ -72,8 +80,14 @@ def tail(word: bytes) -> int:
     return TOP + xxhash.xxh32_intdigest(word[-2:]) % TAILS
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def words(text: str | None, stretch: int = STRETCH) -> Iterator[list[bytes]]:
+    """The words of a text, those of some ``stretch`` bytes at a time."""
+    raw, at = text.encode() if text else b"", 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + stretch)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].lower().split()
+        at = end
 
 
 @gives_back
@@ -90,10 +104,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            counts.update(words(text.as_py()))
+            for w in words(text.as_py()):
+                counts.update(w)
+                if len(counts) > FLUSH:
+                    yield from flush()
             ends += 1
-            if len(counts) > FLUSH:
-                yield from flush()
     yield from flush()
     if ends:
         yield pa.RecordBatch.from_arrays([pa.array([END_KEY], pa.int64()), pa.array([TOP], pa.int32()), pa.array([ends], pa.int64())], names=["token", "tail", "n"])
@@ -104,7 +119,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(_count, "token long, tail int, n long").groupBy("token", "tail").agg(F.sum("n").alias("n"))
 
 
-NUMBERED_DDL = "doc_id long, held_out boolean, row long, symbols binary, rare array<long>, held_sum double, held_known long"
+NUMBERED_DDL = "doc_id long, held_out boolean, row long, symbols binary, rare map<long, long>, held_sum double, held_known long"
 
 
 class _Places(dict):
@@ -134,17 +149,21 @@ def _encode(batches: Iterator[pa.RecordBatch], held: dict[int, int], symbol: np.
             part = batch.slice(lo, 1_000)
             sequences, rare, sums, known = [], [], [], []
             for text in part.column(2):
-                w = words(text.as_py())
-                at = np.fromiter(map(places.__getitem__, w), dtype=np.int64, count=len(w))
-                at = np.append(at, end)
-                out = np.flatnonzero(at >= HELD).tolist()
-                rare.append([token_key(w[i]) if i < len(w) else END_KEY for i in out])
-                sequences.append(symbol[at].tobytes())
-                sums.append(float(value[at].sum()))
-                known.append(len(at) - len(out))
+                times, found, sum_, n_known = Counter([END_KEY] if end >= HELD else ()), [], float(value[end]), int(end < HELD)
+                for w in words(text.as_py()):
+                    at = np.fromiter(map(places.__getitem__, w), dtype=np.int64, count=len(w))
+                    out = np.flatnonzero(at >= HELD).tolist()
+                    times.update(token_key(w[i]) for i in out)
+                    found.append(symbol[at].tobytes())
+                    sum_ += float(value[at].sum())
+                    n_known += len(at) - len(out)
+                rare.append(list(times.items()))
+                sequences.append(b"".join([*found, symbol[end].tobytes()]))
+                sums.append(sum_)
+                known.append(n_known)
             n = len(sequences)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.arange(row, row + n)), pa.array(sequences, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(sums, pa.float64()), pa.array(known, pa.int64())],
+                [part.column(0), part.column(1), pa.array(np.arange(row, row + n)), pa.array(sequences, pa.binary()), pa.array(rare, pa.map_(pa.int64(), pa.int64())), pa.array(sums, pa.float64()), pa.array(known, pa.int64())],
                 names=["doc_id", "held_out", "row", "symbols", "rare", "held_sum", "held_known"],
             )
             row += n
@@ -215,7 +234,43 @@ def expected(batch: Batch, start: np.ndarray, move: np.ndarray, emit_t: np.ndarr
     return gammas[at].sum(0), moves, emits, float(total.sum())
 
 
-def _groups(sequences: list[np.ndarray], tokens: int = 500_000) -> Iterator[list[int]]:
+def expected_of_long(symbols: np.ndarray, start: np.ndarray, move: np.ndarray, emit_t: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same for one long sequence, with the alphas of one stretch at a time.
+
+    The way there keeps the alpha and scale that each stretch begins with; the
+    way back makes those within a stretch again.
+    """
+    k, kept, total, a = len(start), [], 0.0, None
+    edges = [*range(0, len(symbols), stretch), len(symbols)]
+
+    def step(a: np.ndarray | None, symbol: int) -> tuple[np.ndarray, float]:
+        a = (start if a is None else a @ move) * emit_t[symbol]
+        c = a.sum()
+        return a / c, c
+
+    for t, symbol in enumerate(symbols):
+        a, c = step(a, symbol)
+        total += np.log10(c)
+        if t % stretch == 0:
+            kept.append((a, c))
+    moves, emits, b, weight = np.zeros((k, k)), np.zeros((k, len(emit_t))), np.ones(k), None
+    for lo, hi in reversed(list(zip(edges, edges[1:], strict=False))):
+        part = symbols[lo:hi]
+        alphas, scales = np.empty((hi - lo, k)), np.empty(hi - lo)
+        alphas[0], scales[0] = kept.pop()
+        for i in range(1, hi - lo):
+            alphas[i], scales[i] = step(alphas[i - 1], part[i])
+        for i in range(hi - lo - 1, -1, -1):
+            if weight is not None:
+                moves += move * np.outer(alphas[i], weight)
+                b = move @ weight
+            weight = emit_t[part[i]] * b / scales[i]
+            alphas[i] *= b  # gamma takes alpha's place
+        emits += [np.bincount(part, weights=alphas[:, s], minlength=len(emit_t)) for s in range(k)]
+    return alphas[0], moves, emits, float(total)
+
+
+def _groups(sequences: list[np.ndarray], tokens: int = GROUP) -> Iterator[list[int]]:
     """Indices in groups of like length and bounded total."""
     group, size = [], 0
     for i in sorted(range(len(sequences)), key=lambda i: -len(sequences[i])):
@@ -241,7 +296,9 @@ def _gather(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, np.ndarr
     for batch in batches:
         sequences = _decode(batch.column(0))
         for group in _groups(sequences):
-            part = expected(Batch([sequences[i] for i in group]), start, move, emit_t)
+            lone = sequences[group[0]]
+            long = len(lone) > GROUP  # then it is the whole group
+            part = expected_of_long(lone, start, move, emit_t, GROUP) if long else expected(Batch([sequences[i] for i in group]), start, move, emit_t)
             sums = part if sums is None else tuple(x + y for x, y in zip(sums, part, strict=True))
     if sums is None:
         return
@@ -310,10 +367,10 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> D
     inside = np.log10(n_symbol + ALPHA * np.where(np.arange(SYMBOLS) < len(first[:TOP]), 1, v_symbol + 1))
     scored = numbered.select("row", "symbols").mapInArrow(lambda it: _score(it, model, inside), "row long, n_tokens long, class_score double")
     counts = beyond(vocab, first).select("token", "n")
-    rare = numbered.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
+    rare = numbered.select("row", F.explode("rare").alias("token", "times")).join(counts, "token", "left")
     c = F.coalesce("n", F.lit(0))
     # Sums of whole numbers do not depend on the order of the rows.
-    rest = rare.groupBy("row").agg((F.sum(F.round(F.log10(c + ALPHA) * 1e10).cast("long")) / 1e10).alias("rare_sum"), F.sum((c > 0).cast("long")).alias("rare_known"))
+    rest = rare.groupBy("row").agg((F.sum(F.col("times") * F.round(F.log10(c + ALPHA) * 1e10).cast("long")) / 1e10).alias("rare_sum"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     unit = float(np.log10(total + ALPHA * (distinct + 1)))
     sums = F.col("held_sum") + F.coalesce("rare_sum", F.lit(0.0))
     joined = numbered.select("row", "doc_id", "held_out", "held_sum", "held_known").join(scored, "row").join(rest, "row", "left")

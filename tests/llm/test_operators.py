@@ -278,6 +278,25 @@ def test_hmm_scores(spark, texts):
     assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)  # scores are negative: nearer 0 is better
 
 
+def test_score_of_one_state(spark):
+    """With one state the model is a unigram that can be written down; one text is longer than a group."""
+    long = hmm.GROUP + 1_000
+    docs = {1: "a b a", 2: "Zz b\tzz", 3: "never seen b", 4: "a " * long, 5: "b é é"}
+    train = [d for d in docs if zlib.crc32(str(d).encode()) % 10]
+    assert 4 in train
+    tokens = {d: [*x.encode().lower().split(), None] for d, x in docs.items()}
+    counts = collections.Counter(w for d in train for w in tokens[d])
+    symbol = {w: k for k, w in enumerate(counts)}
+    n = [*counts.values(), *[0] * (hmm.SYMBOLS - len(counts))]
+    prior = [(x + 1) / (sum(n) + len(n)) for x in n]
+    emit = [x + 10 * y for x, y in zip(n, prior, strict=True)]
+    rows = hmm.hmm_scores(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), rounds=1, states=1).collect()
+    for r in rows:
+        wanted = sum(math.log10(emit[symbol.get(w, -1)] / sum(emit)) for w in tokens[r.doc_id])
+        assert abs(r.score - wanted) < 1e-6 * abs(wanted)
+    assert len(rows) == len(docs)
+
+
 def test_dedup_of_long_texts_with_one_prefix(spark):
     """What a task holds is bounded by the texts' bytes, not by the trie's labels."""
     text = "p " * 10_000

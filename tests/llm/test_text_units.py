@@ -240,6 +240,23 @@ def test_forward_equals_the_sum_over_paths():
     assert np.allclose(emits.sum(0), np.bincount(np.concatenate(texts), minlength=3))
 
 
+def test_long_sequences_have_the_same_counts():
+    rng = np.random.default_rng(5)
+    start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 7, 3)
+    emit_t = np.ascontiguousarray(emit.T)
+    for n, stretch in ((1, 4), (4, 4), (5, 4), (203, 10), (200, 10), (50, 60), (9, 1)):
+        text = rng.integers(0, 7, n)
+        wanted = hmm.expected(hmm.Batch([text]), start, move, emit_t)
+        for x, y in zip(hmm.expected_of_long(text, start, move, emit_t, stretch), wanted, strict=True):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-12)
+
+
+@given(st.text(alphabet="aB é\n\x0b\x1c\u2003", max_size=40), st.integers(1, 9))
+def test_words_of_stretches(text, stretch):
+    wanted = [w for w in re.split(r"[\x20\x09-\x0D]+", text.replace("B", "b")) if w]
+    assert [w.decode() for part in hmm.words(text, stretch) for w in part] == wanted
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(0)
     texts = [np.repeat(rng.integers(0, 2), 40) * 3 + rng.integers(0, 3, 40) for _ in range(40)]
