@@ -391,3 +391,28 @@ def beyond(vocab: DataFrame, first: list) -> DataFrame:
         return vocab.where(F.lit(False)) if vocab.isEmpty() else vocab
     n = first[-1]["n"]
     return vocab.where((F.col("n") < n) | (F.col("n") == n) & (F.col("token") > first[-1]["token"]))
+
+
+#: Base columns in SQL; ``score`` is the model's. CRC-32 is folded over bits: a
+#: value from 0 up is a byte to take in, -1 a shift.
+ORACLE_BASE = r"""
+WITH d AS (
+  SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS tokens,
+         list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''),
+           lambda x: [CASE WHEN x = '' THEN NULL ELSE ascii(x) END::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM documents
+), h AS (
+  SELECT doc_id, tokens, xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 10 = 0 AS held_out,
+         row_number() OVER () AS r
+  FROM d
+), t AS (
+  SELECT r, held_out, unnest(tokens) AS token FROM h
+), v AS (
+  SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token
+), n AS (
+  SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM v
+)
+SELECT any_value(h.doc_id) AS doc_id, any_value(h.held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, any_value(n.n) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 4) AS base_score
+FROM h JOIN t USING (r) LEFT JOIN v USING (token) CROSS JOIN n GROUP BY r
+"""

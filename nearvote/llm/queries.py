@@ -1,4 +1,4 @@
-"""Registered queries of the corpus operators, one per operator."""
+"""Registered queries of the corpus operators: one per operator, and the parts of two that SQL can express."""
 
 from __future__ import annotations
 
@@ -48,6 +48,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_quality_rules`` that SQL can express."""
+    return op4_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(documents(spark, sf_dir))
 
@@ -60,6 +65,11 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.hmm_scores(documents(spark, sf_dir))
 
 
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7_hmm`` that SQL can express."""
+    return op7_hmm(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -72,5 +82,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op5_substring_dedup, op6_exact_dedup, op7_hmm, op8_html_extraction, op9_jaccard_join, op10_url_filters)}
-ORACLES = {"op3_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_url_filters": url_filters.oracle()}
+OPERATORS = (op1_pii, op2_packing, op3_mixing, op4_quality_rules, op5_substring_dedup, op6_exact_dedup, op7_hmm, op8_html_extraction, op9_jaccard_join, op10_url_filters)
+QUERIES = {f.__name__: f for f in (*OPERATORS, quality_base, language_model_base)}
+ORACLES = {
+    "op3_mixing": mixing.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_url_filters": url_filters.oracle(),
+    "quality_base": quality_rules.ORACLE_BASE,
+    "language_model_base": hmm.ORACLE_BASE,
+}
