@@ -266,6 +266,8 @@ def band(n: Column, percent: int, most: int = 1 << 40) -> Column:
 GROUP = 2_000
 #: Keys before a shared one that tell whether a pair has met already.
 PRIOR = 8
+#: Members of a list (and size band) that the closing join deals to one task.
+PART = 512
 #: Before all pairs are tried: rounds that try to join components by a few pairs
 #: of each list, how many, and of how long lists.
 BRIDGES, PICKS, LONG = 2, 8, 16
@@ -460,14 +462,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, light: int | Non
     members = materialize(open_.select("*", before.alias("prior"), band(F.col("n"), percent).alias("band")))
     names = ("cls", "n", "at", "comp", "coarse", "prior")
     x, y = (members.select("key", *(F.col(c).alias(f"{c}{i}") for c in names), own.alias("band")) for i, own in ((1, F.explode(F.array(F.col("band"), F.col("band") + 1))), (2, F.col("band"))))
+    # A long list is one task's only in parts of about ``PART`` members, each met by all.
+    crowds = materialize(members.groupBy("key", "band").agg(F.ceil(F.count("*") / PART).alias("salts")).where("salts > 1"))
+    x = x.join(crowds, ["key", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1))).drop("salts")
+    y = y.join(crowds, ["key", "band"], "left").withColumn("salt", F.coalesce(F.pmod("cls2", "salts"), F.lit(0).cast("long"))).drop("salts")
     # What sets can share at most from the shared position on, and must share.
     most = F.when((F.col("at1") < 0) | (F.col("at2") < 0), F.least("n1", "n2")).otherwise(F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")))
     enough = most * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
     ordered_ = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("cls1") < F.col("cls2"))
-    rest = x.join(y, ["key", "band"]).where(ordered_ & (F.col("comp1") != F.col("comp2")) & enough & _room(percent, "n1", "n2", "coarse1", "coarse2") & ~F.arrays_overlap("prior1", "prior2"))
+    rest = x.join(y, ["key", "band", "salt"]).where(ordered_ & (F.col("comp1") != F.col("comp2")) & enough & _room(percent, "n1", "n2", "coarse1", "coarse2") & ~F.arrays_overlap("prior1", "prior2"))
     merge(_links(likely(rest.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()), base, local, percent))
 
-    for done in (open_, members, shared, cards):
+    for done in (open_, members, crowds, shared, cards):
         discard(done)
     named = placed(local.select("doc_id", F.col("n").alias("n_shingles"), "cls"), "cls", "comp")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -203,8 +203,12 @@ def test_jaccard_join(spark, texts, light):
     assert got == brute_components(texts)
 
 
-def test_jaccard_join_of_chains(spark):
-    """Each text is near its neighbours only: the component goes all along."""
+@pytest.mark.parametrize("part, bridges", [(jaccard_join.PART, jaccard_join.BRIDGES), (1, 0), (3, 0)])
+def test_jaccard_join_of_chains(spark, monkeypatch, part, bridges):
+    """Each text is near its neighbours only: the component goes all along,
+    also where the closing join has all the work and deals lists in parts."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "BRIDGES", bridges)
     words = [f"u{i}" for i in range(400)]
     rows = [(100 + i, " ".join(words[4 * i : 4 * i + 110])) for i in range(60)] + [(7, "x y"), (8, "X  y"), (9, None)]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), counters=8).collect()}
