@@ -117,7 +117,10 @@ def index_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    table = vectors(spark, sf_dir)
+    """(queries, their nearest rows); the vectors are written once, as a search reads them several times."""
+    at = scratch(spark)
+    vectors(spark, sf_dir).write.parquet(at)
+    table = spark.read.parquet(at)
     queries = queries_of(table)
     return queries, knn.exact_knn(queries, table)
 

@@ -18,6 +18,21 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(ORACLES) == {"f16_bits"}
 
 
+def test_features_are_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes of byte code, and runs it many times slower."""
+    df = QUERIES["vectorize_tx"](spark, SF)
+    df.collect()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    assert stages.length() and all(stages.apply(i)._3().maxMethodCodeSize() <= 8_000 for i in range(stages.length()))
+
+
+@pytest.mark.parametrize("name", ["fraud_decision", "knn_exact_top5"])
+def test_exact_searches_read_written_vectors(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and "last_ts" not in plan
+
+
 def test_half_precision_bits(spark):
     import numpy as np
     import pyarrow.parquet as pq
