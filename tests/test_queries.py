@@ -33,6 +33,18 @@ def test_exact_searches_read_written_vectors(spark, name):
     assert "events.parquet" not in plan and "last_ts" not in plan
 
 
+@pytest.mark.parametrize("name", ["fraud_decision", "knn_exact_top5"])
+def test_exact_search_in_blocks_equals_its_sql(spark, duck, name, monkeypatch):
+    from nearvote.operators import boxes, knn
+
+    searched = []
+    plain = boxes.nearest
+    monkeypatch.setattr(knn, "SCAN_QUERIES", 10)
+    monkeypatch.setattr(boxes, "nearest", lambda *a: searched.append(name) or plain(*a))
+    assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(duck, ORACLES[name])
+    assert searched
+
+
 def test_half_precision_bits(spark):
     import numpy as np
     import pyarrow.parquet as pq
